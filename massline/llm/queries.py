@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import mix, secrets
+from . import mix, packing, secrets
 
 
 def queries() -> dict:
-    return {"op7_secrets": secrets.op7_secrets, "op9_mix": mix.op9_mix}
+    return {"op4_packing": packing.op4_packing, "op7_secrets": secrets.op7_secrets, "op9_mix": mix.op9_mix}
 
 
 def oracle_sql() -> dict:
