@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import mix, near_dup, packing, secrets
+from . import language, mix, near_dup, packing, quality, secrets
 
 
 def queries() -> dict:
-    return {"op4_packing": packing.op4_packing, "op7_secrets": secrets.op7_secrets, "op9_mix": mix.op9_mix, "op10_minhash": near_dup.op10_minhash}
+    return {"op3_language": language.op3_language, "op4_packing": packing.op4_packing, "op7_secrets": secrets.op7_secrets, "op8_quality": quality.op8_quality, "op9_mix": mix.op9_mix, "op10_minhash": near_dup.op10_minhash}
 
 
 def oracle_sql() -> dict:
