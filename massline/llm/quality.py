@@ -132,10 +132,15 @@ def held_out(doc_id):
     return F.crc32(doc_id.cast("string")) % 5 == 0
 
 
-def sample_ids(labels: DataFrame, column: str, most: int) -> DataFrame:
-    """(doc_id, label) of at most ``most`` labelled training rows of each class; conflicting labels go to the larger share, ties to 1."""
+def training(labels: DataFrame, column: str) -> DataFrame:
+    """(doc_id, label) of the labelled training rows; conflicting labels go to the larger share, ties to 1."""
     rows = labels.where(F.col("doc_id").isNotNull() & F.col(column).isin(0, 1) & ~F.coalesce(held_out(F.col("doc_id")), F.lit(True)))
-    rows = rows.groupBy("doc_id").agg((F.avg(column) >= 0.5).cast("int").alias("label"))
+    return rows.groupBy("doc_id").agg((F.avg(column) >= 0.5).cast("int").alias("label"))
+
+
+def sample_ids(labels: DataFrame, column: str, most: int) -> DataFrame:
+    """At most ``most`` of the training rows of each class."""
+    rows = training(labels, column)
     of = lambda k: rows.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     return of(0).unionAll(of(1))
 
