@@ -22,6 +22,14 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def head(text: Column, n: Column) -> Column:
+    """The text up to the end of its n-th word."""
+    gaps = F.transform(F.split(text, WORD, -1), lambda x: F.length(x))
+    found = F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda x: F.length(x))
+    upto = F.slice(F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda a, b: a + b), 1, n.cast("int"))
+    return F.substring(text, F.lit(1), F.aggregate(upto, F.lit(0), lambda acc, x: acc + x))
+
+
 def targets(sized: DataFrame, weights: tuple = WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
     """(source, size) -> (source, source_size, target).
 

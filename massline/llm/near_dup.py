@@ -166,6 +166,8 @@ def groups(docs: DataFrame, scratch: common.Scratch, width: int = 5, num: int =
     pairs = rest.join(other, "value").where("component < cb").select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
     pairs = pairs.join(spokes.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     more = scratch.save(linked(pairs).unionAll(links))
+    for gone in (texts, listed, links):
+        scratch.drop(gone)
     components = common.connected_components(scratch, more).select(F.col("node").alias("rep"), "component")
     placed = classes.select("rep", "content").join(components, "rep", "left").select("content", F.coalesce("component", "rep").alias("component_id"))
     out = sig.select("doc_id", "n_shingles", "content").join(placed, "content", "left")
