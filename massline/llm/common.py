@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,6 +66,18 @@ class Scratch:
             pass
 
 
+def components_of(linked: np.ndarray) -> np.ndarray:
+    """Smallest index that each one reaches, from a symmetric boolean matrix."""
+    n = len(linked)
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root, np.where(linked, root[None, :], n).min(1))
+        low = low[low]
+        if (low == root).all():
+            return root
+        root = low
+
+
 def connected_components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """(a, b) long pairs, in any direction -> (node, component), the smallest node that each one reaches.
 

@@ -75,18 +75,6 @@ def _describe(kind: str, pivots: dict[int, np.ndarray], count: int):
     return run
 
 
-def _components(linked: np.ndarray) -> np.ndarray:
-    """Smallest index that each one reaches, from a symmetric boolean matrix."""
-    n = len(linked)
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root, np.where(linked, root[None, :], n).min(1))
-        low = low[low]
-        if (low == root).all():
-            return root
-        root = low
-
-
 def _compare(kind: str, least: float):
     """One cell: two blocks of a list, or one with itself -> links of each vector that this list is the first to see, and a spanning forest."""
 
@@ -111,7 +99,7 @@ def _compare(kind: str, least: float):
             if not hit.any():
                 continue
             some = np.flatnonzero(hit.any(1))
-            root = _components(hit[np.ix_(some, some)])
+            root = common.components_of(hit[np.ix_(some, some)])
             # The list of a pair's two lowest shared pivots counts it, the others skip it.
             a, b = np.nonzero(hit)
             near = np.stack([np.frombuffer(r["near"], "<i2") for r in part]).astype(np.int64)

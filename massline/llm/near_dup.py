@@ -18,6 +18,8 @@ K = 32
 #: A pair at the threshold is lost with a chance of at most exp(-RISK).
 RISK = 20.0
 REMEMBERED = 200_000
+#: Groups of up to FEW pair up; larger ones go in blocks of so many texts or shingles, with so many columns at a time.
+FEW, BLOCK, BLOCK_SHINGLES, COLUMNS = 12, 600, 300_000, 4096
 
 
 def least_share(num: int, den: int, k: int = K) -> int:
@@ -89,6 +91,38 @@ def _sketch(width: int, k: int):
     return run
 
 
+def _cell(width: int, num: int, den: int):
+    """Texts of one or two blocks of a group -> a spanning forest of the links among them, by exact set sizes."""
+
+    def run(key, cell):
+        rows = sorted(cell.select(["rep", "block", "component", "text"]).to_pylist(), key=lambda r: r["rep"])
+        known = _Words()
+        hashes = [shingle_hashes(words_of(r["text"]), width, known) for r in rows]
+        n = np.array([len(h) for h in hashes])
+        _, column, count = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+        # Columns of shingles that one text alone has add nothing to an intersection.
+        place = np.cumsum(count > 1) - 1
+        keep = count[column] > 1
+        row, column = np.repeat(np.arange(len(rows)), n)[keep], place[column[keep]]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        both = np.zeros((len(rows), len(rows)), np.float32)
+        for lo in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+            at = slice(*np.searchsorted(column, [lo, lo + COLUMNS]))
+            dense = np.zeros((len(rows), COLUMNS), np.float32)
+            dense[row[at], column[at] - lo] = 1
+            both += dense @ dense.T
+        both = np.rint(both).astype(np.int64)
+        linked = den * both >= num * (n[:, None] + n[None, :] - both)
+        np.fill_diagonal(linked, False)
+        root = common.components_of(linked)
+        at = np.flatnonzero(root != np.arange(len(rows)))
+        ids = np.array([r["rep"] for r in rows], np.int64)
+        return pa.table([pa.array(ids[root[at]]), pa.array(ids[at])], names=["a", "b"])
+
+    return run
+
+
 def _verify(width: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: list = [None, frozenset()]
@@ -116,8 +150,11 @@ def groups(docs: DataFrame, scratch: common.Scratch, width: int = 5, num: int =
     shingles. A linked pair shares at least c of the values it keeps, so, with values ordered from rare to frequent,
     the two must meet within the first k - c + 1: only these enter the inverted lists, and values that one class alone
     has fill those places without entering any. First every list links its members to the one whose values are the most
-    common (the middle of a family of copies); later only lists that still span several components pair up members
-    of different ones. Every pair must pass the estimate from the sketch of the union, then the exact test on the sets.
+    common (the middle of a family of copies); these pairs must pass the estimate from the sketch of the union, then the
+    exact test on the sets. Two members of a list share its middle, so all pairs that are left lie within the groups
+    around one middle. A group whose members are in one component by now is done. In a small one the pairs of different
+    components are tested likewise; a large one is cut into blocks, and every two blocks make a cell, which counts
+    intersections of whole sets by matrix products and gives a spanning forest, never the pairs.
 
     Texts without words have n_shingles 0 and link with nothing. A row with a null doc_id is given a null component
     and is kept. Rows that share a doc_id count as separate rows. Other columns are ignored.
@@ -125,19 +162,19 @@ def groups(docs: DataFrame, scratch: common.Scratch, width: int = 5, num: int =
     src = docs.select(F.col("doc_id").cast("long"), F.col("text"))
     sig = scratch.save(src.mapInArrow(_sketch(width, k), "doc_id long, n_shingles long, content binary, sketch array<long>"))
     share = least_share(num, den, k)
-    classes = sig.where("content is not null and doc_id is not null").groupBy("content").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
+    classes = sig.where("content is not null and doc_id is not null").groupBy("content").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("size"))
     classes = scratch.save(classes)
     posted = classes.select("rep", F.explode("sketch").alias("value"))
     common_values = posted.groupBy("value").agg(F.count("*").alias("n")).where("n > 1")
     shared = posted.join(common_values, "value").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", "value"))).alias("vs"))
-    sizes = classes.select("rep", F.size("sketch").alias("m"), "sketch")
+    sizes = classes.select("rep", "size", F.size("sketch").alias("m"), "sketch")
     listed = shared.join(sizes, "rep")
     # c scales with the sketch: values are all there where a set has fewer than k.
     need = F.ceil(F.col("m") * share / F.lit(k)).cast("int")
     alone = F.col("m") - F.size("vs")
     places = F.col("m") - need + 1 - alone
     listed = scratch.save(
-        listed.where(places > 0).select("rep", "sketch", F.aggregate("vs", F.lit(0).cast("long"), lambda acc, x: acc + x["n"]).alias("weight"), F.slice(F.col("vs"), F.lit(1), places).alias("vs"))
+        listed.where(places > 0).select("rep", "size", "sketch", F.aggregate("vs", F.lit(0).cast("long"), lambda acc, x: acc + x["n"]).alias("weight"), F.slice(F.col("vs"), F.lit(1), places).alias("vs"))
     )
     lists = listed.select("rep", "weight", F.explode("vs.value").alias("value"))
     texts = scratch.save(src.join(listed.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
@@ -157,16 +194,24 @@ def groups(docs: DataFrame, scratch: common.Scratch, width: int = 5, num: int =
 
     middle = lists.groupBy("value").agg(F.max(F.struct("weight", (-F.col("rep")).alias("low"))).alias("top"), F.count("*").alias("n")).where("n > 1")
     spokes = lists.join(middle.select("value", (-F.col("top.low")).alias("a")), "value").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
+    spokes = scratch.save(spokes)
     links = scratch.save(linked(spokes))
     found = scratch.save(connected_or_self(scratch, links, listed))
-    placed = lists.join(found, "rep").select("value", "rep", "component")
-    open_lists = placed.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("value")
-    rest = placed.join(open_lists, "value")
-    other = rest.select("value", F.col("rep").alias("b"), F.col("component").alias("cb"))
-    pairs = rest.join(other, "value").where("component < cb").select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
-    pairs = pairs.join(spokes.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = scratch.save(linked(pairs).unionAll(links))
-    for gone in (texts, listed, links):
+    # All that share a list with a pair's other end have the list's middle in common: groups by middle hold every pair.
+    group = spokes.select(F.col("a").alias("grp"), F.col("b").alias("rep")).unionAll(spokes.select("a", "a").distinct().toDF("grp", "rep"))
+    group = scratch.save(group.join(found, "rep").join(listed.select("rep", "size"), "rep"))
+    span = group.groupBy("grp").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.sum("size").alias("total")).where("lo < hi")
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("total") / BLOCK_SHINGLES)).cast("int")
+    still = group.join(span.select("grp", "n", blocks.alias("blocks")), "grp")
+    few = still.where(F.col("n") <= FEW).select("grp", "rep", "component")
+    other = few.toDF("grp", "rep_b", "component_b")
+    pairs = few.join(other, "grp").where("rep < rep_b and component <> component_b").select(F.col("rep").alias("a"), F.col("rep_b").alias("b")).distinct()
+    many = still.where(F.col("n") > FEW).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    cells = many.select("grp", "rep", "component", "block", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
+    cells = cells.select("grp", "rep", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    cells = cells.join(texts.withColumnRenamed("doc_id", "rep"), "rep").groupBy("grp", "i", "j").applyInArrow(_cell(width, num, den), "a long, b long")
+    more = scratch.save(linked(pairs).unionAll(cells).unionAll(links))
+    for gone in (texts, listed, links, group, spokes):
         scratch.drop(gone)
     components = common.connected_components(scratch, more).select(F.col("node").alias("rep"), "component")
     placed = classes.select("rep", "content").join(components, "rep", "left").select("content", F.coalesce("component", "rep").alias("component_id"))
