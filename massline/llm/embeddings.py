@@ -16,8 +16,10 @@ from . import common
 LEAST = 0.93
 #: Reference points, a sample of the vectors whose ids hash lowest; fewer where the table is small, never more than MOST_PIVOTS.
 PIVOTS, MOST_PIVOTS = 64, 512
-#: A vector is described by its NEAREST reference points; candidates share at least SHARED of them.
-NEAREST, SHARED = 7, 2
+#: A vector is described by its nearest reference points, so many as are needed; candidates share at least SHARED of
+#: them. The number is the first with which RECALL of the links within a sample of so many vectors are candidates.
+NEAREST, SHARED = (7, 10, 14, 20, 28), 2
+RECALL, SAMPLE = 0.999, 3000
 #: Vectors of a list that one cell compares with another such block.
 BLOCK = 1500
 SEED = 20240607
@@ -53,9 +55,29 @@ def _unit(raw: list[bytes], kind: str) -> np.ndarray:
     return v / np.sqrt((v * v).sum(1))[:, None]
 
 
-def _describe(kind: str, pivots: dict[int, np.ndarray], count: int):
+def nearest_needed(rows: list, kind: str, pivots: dict[int, np.ndarray], least: float) -> int:
+    """Fewest nearest pivots that make candidates of enough of the links in the sample (label, raw)."""
+    linked = {n: 0 for n in NEAREST}
+    total = 0
+    for dim, p in pivots.items():
+        part = [r for r in rows if len(r["raw"]) == dim * np.dtype(kind).itemsize]
+        if len(part) < 2:
+            continue
+        u = _unit([r["raw"] for r in part], kind)
+        label = np.array([r["label"] for r in part])
+        a, b = np.nonzero(np.triu((u @ u.T >= least) & (label[:, None] == label[None, :]), 1))
+        total += len(a)
+        order = np.argsort(-(u @ p.T), 1, kind="stable")
+        for n in NEAREST:
+            has = np.zeros((len(part), len(p)), np.float32)
+            np.put_along_axis(has, order[:, :n], 1, 1)
+            linked[n] += int((np.einsum("ij,ij->i", has[a], has[b]) >= SHARED).sum())
+    return next((n for n in NEAREST if linked[n] >= RECALL * total), NEAREST[-1])
+
+
+def _describe(kind: str, pivots: dict[int, np.ndarray], count: int, nearest: int):
     """Vector -> its nearest pivots in order, and a row for each pair of them."""
-    pairs = list(combinations(range(NEAREST), SHARED))
+    pairs = list(combinations(range(nearest), SHARED))
 
     def of(dim: int) -> np.ndarray:
         if dim not in pivots:
@@ -68,7 +90,7 @@ def _describe(kind: str, pivots: dict[int, np.ndarray], count: int):
             raw, near = batch.column(1).to_pylist(), []
             for r in raw:
                 x = _unit([r], kind)[0]
-                near.append(np.argsort(-(of(len(x)) @ x), kind="stable")[:NEAREST])
+                near.append(np.argsort(-(of(len(x)) @ x), kind="stable")[:nearest])
             keys = [[int(a) * 65536 + int(b) for i, j in pairs if max(i, j) < len(n) for a, b in [sorted((n[i], n[j]))]] or [-1] for n in near]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n.astype("<i2").tobytes() for n in near], pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["rep", "near", "keys"])
 
@@ -106,10 +128,10 @@ def _compare(kind: str, least: float):
             lowest = wanted[0] >= 0
             first = np.ones(len(a), bool)
             if lowest:
-                for s in range(0, len(a), 200_000):
-                    x, y = near[a[s : s + 200_000]], near[b[s : s + 200_000]]
+                for s in range(0, len(a), 100_000):
+                    x, y = near[a[s : s + 100_000]], near[b[s : s + 100_000]]
                     shared = np.sort(np.where((x[:, :, None] == y[:, None, :]).any(2), x, 32767), 1)[:, :2]
-                    first[s : s + 200_000] = (shared[:, 0] == wanted[0]) & (shared[:, 1] == wanted[1])
+                    first[s : s + 100_000] = (shared[:, 0] == wanted[0]) & (shared[:, 1] == wanted[1])
             times = np.array([r["times"] for r in part], np.int64)
             links = np.bincount(a[first], times[b[first]], len(part)).astype(np.int64)
             where = np.full(len(part), -1)
@@ -151,7 +173,9 @@ def near(vectors: DataFrame, scratch: common.Scratch, least: float = LEAST) -> D
         # Too few of this length: the rest are fixed random directions.
         more = np.random.default_rng([SEED, p.shape[1]]).standard_normal((max(0, min(count, PIVOTS) - len(found)), p.shape[1]))
         pivots[p.shape[1]] = np.vstack([p, more / np.sqrt((more * more).sum(1))[:, None]])
-    described = scratch.save(reps.select("rep", "raw").mapInArrow(_describe(kind, pivots, count), "rep long, near binary, keys array<long>"))
+    trial = reps.orderBy(F.xxhash64("rep"), "content").limit(SAMPLE).select("label", "raw").collect()
+    nearest = nearest_needed(trial, kind, pivots, least)
+    described = scratch.save(reps.select("rep", "raw").mapInArrow(_describe(kind, pivots, count, nearest), "rep long, near binary, keys array<long>"))
     listed = described.join(reps.select("rep", "label"), "rep").select("rep", "label", F.explode("keys").alias("list"))
     sizes = listed.groupBy("label", "list").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     placed = listed.join(sizes, ["label", "list"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
