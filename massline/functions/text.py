@@ -30,14 +30,22 @@ def bin_of(ms: Column) -> Column:
     return out.otherwise(F.lit(f"({low},inf)"))
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with the value computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def parse_starts(raw: Column) -> Column:
     """struct<starts array<int>, reason>: the JSON array between the first [ and the last ]; ints or quoted ints only."""
-    body = F.regexp_extract(raw, r"(?s)\[.*\]", 0)
-    items = F.from_json(body, "array<string>")
-    whole = F.forall(items, lambda x: F.coalesce(x.rlike(r"^\s*[+-]?\d+\s*$"), F.lit(False)))
-    reason = F.when(body == "", F.lit("no array")).when(items.isNull() | (F.length(F.regexp_replace(body, r"[^\[]", "")) != F.length(F.regexp_replace(body, r"[^\]]", ""))), F.lit("malformed")).when(~whole, F.lit("not an integer"))
-    starts = F.when(reason.isNull(), F.transform(items, lambda x: F.trim(x).cast("int")))
-    return F.struct(starts.alias("starts"), reason.alias("reason"))
+
+    def judged(body: Column, items: Column) -> Column:
+        count = lambda c: F.length(body) - F.length(F.replace(body, F.lit(c), F.lit("")))
+        whole = F.forall(items, lambda x: F.coalesce(x.rlike(r"^\s*[+-]?\d+\s*$"), F.lit(False)))
+        broken = items.isNull() | (count("[") != count("]"))
+        reason = F.when(body == "", F.lit("no array")).when(broken, F.lit("malformed")).when(~whole, F.lit("not an integer"))
+        return let(reason, lambda why: F.struct(F.when(why.isNull(), F.transform(items, lambda x: F.trim(x).cast("int"))).alias("starts"), why.alias("reason")))
+
+    return let(F.regexp_extract(raw, r"(?s)\[.*\]", 0), lambda body: let(F.from_json(body, "array<string>"), lambda items: judged(body, items)))
 
 
 def position_class(idx: Column, n: Column) -> Column:

@@ -169,7 +169,8 @@ def _raw(spark, d):
     x = docs(spark, d).withColumn("d", D.digit(F.col("doc_id"), F.lit("raw")))
     body = F.array_join(F.transform("ref", lambda b: (b + 1).cast("string")), ", ")
     raw = F.when(F.col("d") == "0", "no answer").when(F.col("d") == "1", "[1, 2 ]]").when(F.col("d") == "2", "[1, true]").when(F.col("d") == "3", "[1, 2.5]").when(F.col("d") == "4", 'Answer: ["1"]')
-    return x.select("doc_id", "n", T.parse_starts(raw.otherwise(F.concat(F.lit("Here: ["), body, F.lit("] done")))).alias("x")).select("doc_id", "n", "x.*")
+    x = x.select("doc_id", "n", raw.otherwise(F.concat(F.lit("Here: ["), body, F.lit("] done"))).alias("raw"))
+    return x.select("doc_id", "n", T.parse_starts(F.col("raw")).alias("x")).select("doc_id", "n", "x.*")
 
 
 @query(f"{RAW_SQL} SELECT doc_id, CAST(CASE WHEN d = '4' THEN 1 WHEN body = '' THEN 0 ELSE len(string_split(body, ',')) END AS BIGINT) AS n_starts, CASE WHEN d = '4' THEN '1' ELSE replace(body, ' ', '') END AS starts FROM raw WHERE d >= '4'")
