@@ -18,13 +18,14 @@ def _c(x: Any) -> Column:
 
 def words(text: Any) -> Column:
     """Maximal runs without white space."""
-    return F.filter(F.split(_c(text), r"\s+"), lambda x: x != "")
+    return F.regexp_extract_all(_c(text), F.lit(r"\S+"), F.lit(0))
 
 
 def positions(items: Any, test) -> Column:
     """1-based positions of the items for which test(item) holds."""
-    marked = F.transform(_c(items), lambda x, i: F.when(test(x), i + 1))
-    return F.filter(marked, lambda x: x.isNotNull())
+    items = _c(items)
+    at = F.sequence(F.lit(1), F.size(items))
+    return F.when(F.size(items) > 0, F.filter(at, lambda i: test(F.element_at(items, i)))).otherwise(F.array().cast("array<int>"))
 
 
 def flags_to_masses(flags: Any) -> Column:

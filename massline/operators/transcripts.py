@@ -94,3 +94,30 @@ def random_draws(toks: DataFrame, draws: int = DRAWS, seed: int = SEED, core: in
     taken = each.select("conv_id", "draw", F.transform(F.slice(order, F.lit(1), F.col("k")), lambda x: x["p"]).alias("part"))
     drawn = taken.groupBy("conv_id", "draw").agg(F.array_sort(F.flatten(F.collect_list("part"))).alias("hyp"))
     return drawn.join(arrays(toks).drop("hyp"), "conv_id")
+
+
+def structure(units: DataFrame, doc: str = "doc_id", order: str = "unit", keep_cues: bool = False) -> DataFrame:
+    """Tokenised units (doc, order, speaker, items) -> one row per unit with words: n_words, turn, start_i, ends_turn.
+
+    Units without words are left out before turns are made, so they neither break a turn nor start one. Their cues go
+    with them, or, with ``keep_cues``, to the next unit that has words.
+    """
+    n = F.size(F.filter("items", lambda x: x["item"] == "word"))
+    w = Window.partitionBy(doc).orderBy(order)
+    rows = units.withColumn("n_words", n)
+    if keep_cues:
+        # Cues of the empty units since the last one with words: a group is closed by each unit with words.
+        rows = rows.withColumn("grp", F.sum((F.col("n_words") > 0).cast("int")).over(w) - (F.col("n_words") > 0).cast("int"))
+        lost = rows.where("n_words = 0").groupBy(doc, "grp").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(order, "items"))), lambda x: F.filter(x["items"], lambda i: i["item"] == "cue"))).alias("lost"))
+        rows = rows.where("n_words > 0").join(lost, [doc, "grp"], "left").withColumn("items", F.concat(F.coalesce("lost", F.slice("items", 1, 0)), "items")).drop("lost", "grp")
+    rows = rows.where("n_words > 0").withColumn("changed", F.coalesce(F.lag("speaker").over(w) != F.col("speaker"), F.lit(True)))
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.select(
+        doc, order, "speaker", "items", "n_words", F.sum(F.col("changed").cast("int")).over(upto).alias("turn"), (F.sum("n_words").over(upto) - F.col("n_words") + 1).alias("start_i"),
+        F.coalesce(F.lead("changed").over(w), F.lit(False)).alias("ends_turn"),
+    )
+
+
+def clipped(conv_tokens: DataFrame, lo: int, hi: int) -> DataFrame:
+    """Tokens of a window; a cue stays with the word it precedes, so none from beyond the window comes in."""
+    return conv_tokens.where(F.col("pos").between(lo, hi))

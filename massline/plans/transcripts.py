@@ -6,6 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import segments as S
+from ..functions import text as T
+from ..operators import tokeniser as K
 from ..operators import transcripts as R
 from .registry import query, read
 
@@ -303,3 +305,29 @@ def transcript_merge(spark, d):
     x = x.withColumn("cont", F.coalesce(F.lag("open").over(w), F.lit(False))).withColumn("frag", F.sum(F.when(F.col("cont"), 0).otherwise(1)).over(w))
     g = x.groupBy("conv_id", "role", "frag").agg(F.min("turn").alias("first_turn"), F.count("*").alias("merged_from"), F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("x"))
     return g.select("conv_id", "role", "first_turn", "merged_from", F.md5(F.array_join(F.transform("x", lambda p: p["text"]), " ")).alias("text"))
+
+
+@query()
+def tokeniser_items(spark, d):
+    """All turns through the unit tokeniser: items by kind, refused turns by error."""
+    c = read(spark, d, "conversations").select("conv_id", "turn", K.items(F.col("text")).alias("x"))
+    good = c.where("x.error is null").select(F.explode("x.items").alias("i")).groupBy("i.item", F.coalesce("i.kind", F.lit("")).alias("kind")).agg(F.count("*").alias("n"))
+    bad = c.where("x.error is not null").groupBy(F.lit("error").alias("item"), F.substring_index("x.error", " ", 1).alias("kind")).agg(F.count("*").alias("n"))
+    return good.unionByName(bad)
+
+
+@query()
+def tokeniser_crosscheck(spark, d):
+    """Words by the tokeniser less words by the independent recount, as a histogram over turns."""
+    c = read(spark, d, "conversations").select("text", K.items(F.col("text")).alias("x")).where("x.error is null")
+    diff = F.size(K.words_only(F.col("x.items"))) - F.size(T.letters_runs(F.col("text")))
+    return c.groupBy(diff.cast("long").alias("diff")).agg(F.count("*").alias("n"))
+
+
+@query()
+def tokenised_structure(spark, d):
+    """Turns and global word numbers of transcripts whose units are the lines of each turn."""
+    c = read(spark, d, "conversations").select("conv_id", "turn", F.col("role").alias("speaker"), F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    u = c.select("conv_id", F.struct("turn", "line").alias("unit"), "speaker", K.items(F.col("text")).alias("x")).where("x.error is null").select("conv_id", "unit", "speaker", "x.items")
+    s = R.structure(u, "conv_id", "unit")
+    return s.groupBy("conv_id").agg(F.sum("n_words").alias("words"), F.count("*").alias("segments"), F.max("turn").alias("turns"), F.count_if("ends_turn").alias("speaker_changes"), F.max("start_i").alias("last_start"))

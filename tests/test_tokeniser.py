@@ -66,3 +66,15 @@ def test_frame(spark):
     assert got == {1: ("so yes", "s=o (H) yes"), 3: ("", "")}
     assert [(r.id, r.error) for r in bad.collect()] == [(2, "U+00A7 at 4")]
     assert len(K.RULES) == 62
+
+
+def test_structure(spark):
+    from massline.operators import transcripts as R
+
+    rows = [(1, 1, "A", "one two"), (1, 2, "A", "three"), (1, 3, "B", "(H)"), (1, 4, "B", "four five six"), (1, 5, "A", "(H)"), (1, 6, "B", ".. .."), (1, 7, "A", "seven")]
+    df = spark.createDataFrame(rows, "doc_id int, unit int, speaker string, text string")
+    units, _ = K.units(df)
+    got = R.structure(units).orderBy("unit").collect()
+    assert [(r.unit, r.n_words, r.turn, r.start_i, r.ends_turn) for r in got] == [(1, 2, 1, 1, False), (2, 1, 1, 3, True), (4, 3, 2, 4, True), (7, 1, 3, 7, False)]
+    kept = R.structure(units, keep_cues=True).orderBy("unit").collect()
+    assert [[i.kind for i in r["items"] if i.item == "cue"] for r in kept] == [[], [], ["breath_in"], ["breath_in", "pause_short", "pause_short"]]
