@@ -40,10 +40,10 @@ def tpch_semi(spark, d):
     return o.join(l.where("l_quantity > 45").select("l_orderkey"), F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").groupBy("o_orderpriority").agg(F.count("*").alias("n"))
 
 
-@query("SELECT c_mktsegment, count(*) AS n, round(sum(c_acctbal), 2) AS balance FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) GROUP BY ALL")
+@query("SELECT c_mktsegment, count(*) AS n, round(sum(c_acctbal), 2) AS balance FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 350000) GROUP BY ALL")
 def tpch_anti(spark, d):
     c, o = t(spark, d, "customer", "orders")
-    return c.join(o.select("o_custkey"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
+    return c.join(o.where("o_totalprice > 350000").select("o_custkey"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
 
 
 @query("SELECT coalesce(p_brand, 'ALL') AS brand, coalesce(p_type, 'ALL') AS kind, count(*) AS n, round(avg(p_retailprice), 4) AS price FROM part GROUP BY ROLLUP (p_brand, p_type)")
@@ -78,11 +78,11 @@ def tpch_except(spark, d):
     return n.select(F.col("n_nationkey").alias("k")).exceptAll(s.where("s_acctbal > 5000").select("s_nationkey").distinct())
 
 
-@query("SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'right' ELSE 'left' END AS side FROM (SELECT DISTINCT c_nationkey AS k FROM customer WHERE c_acctbal < -900) a FULL JOIN (SELECT DISTINCT s_nationkey AS k FROM supplier WHERE s_acctbal > 8000) b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL")
+@query("SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'right' ELSE 'left' END AS side FROM (SELECT DISTINCT c_nationkey AS k FROM customer WHERE c_acctbal < 0) a FULL JOIN (SELECT DISTINCT s_nationkey AS k FROM supplier) b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL")
 def tpch_symmetric_difference(spark, d):
     c, s = t(spark, d, "customer", "supplier")
-    a = c.where("c_acctbal < -900").select(F.col("c_nationkey").alias("k")).distinct().withColumn("a", F.lit(True))
-    b = s.where("s_acctbal > 8000").select(F.col("s_nationkey").alias("k")).distinct().withColumn("b", F.lit(True))
+    a = c.where("c_acctbal < 0").select(F.col("c_nationkey").alias("k")).distinct().withColumn("a", F.lit(True))
+    b = s.select(F.col("s_nationkey").alias("k")).distinct().withColumn("b", F.lit(True))
     return a.join(b, "k", "full").where("a is null or b is null").select("k", F.when(F.col("a").isNull(), "right").otherwise("left").alias("side"))
 
 
