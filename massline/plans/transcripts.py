@@ -43,6 +43,7 @@ kk AS (SELECT *, greatest(CAST(round_even(n / (n_ref + 1) / 2, 0) AS BIGINT), 2)
 wd AS (SELECT kk.conv_id, kk.scope, avg(CASE WHEN y.rc - x.rc <> y.hc - x.hc THEN 1.0 ELSE 0.0 END) AS wd FROM kk
   JOIN cum x ON x.conv_id = kk.conv_id AND x.scope = kk.scope AND x.pos < kk.n - kk.k JOIN cum y ON y.conv_id = kk.conv_id AND y.scope = kk.scope AND y.pos = x.pos + kk.k GROUP BY ALL)"""
 
+#: Draws of the queries that SQL checks, which is too slow for more; those named _100 take all draws of the reference (R.DRAWS).
 DRAWS = 20
 RANDOM = f"""
 cand AS (SELECT conv_id, pos, ref, pos // {R.CORE} AS win FROM tok WHERE pos % {R.CORE} <> 0 AND pos < n AND NOT turn_end),
@@ -183,17 +184,35 @@ def render_window(spark, d):
     return out.select("conv_id", *lng("win"), F.md5(F.array_join(F.transform("x", lambda p: p["line"]), "\n")).alias("rendered"))
 
 
+def _drawn(spark, d, draws):
+    return R.random_draws(toks(spark, d), draws).select("conv_id", *lng("draw"), F.explode(F.col("hyp").cast("array<bigint>")).alias("b"))
+
+
+def _summary(spark, d, draws):
+    s = R.scores(R.scoped(R.random_draws(toks(spark, d), draws))).where("scope = 'within_turn'")
+    return s.groupBy("conv_id").agg(F.count("*").alias("draws"), F.round(F.avg("f1"), 6).alias("f1_mean"), F.round(F.min("f1"), 6).alias("f1_lo"), F.round(F.max("f1"), 6).alias("f1_hi"))
+
+
 @query(f"WITH {BASE}, {RANDOM} SELECT conv_id, draw, CAST(b AS BIGINT) AS b FROM rnd WHERE draw < 3")
 def random_baseline_draws(spark, d):
-    return R.random_draws(toks(spark, d), 3).select("conv_id", *lng("draw"), F.explode(F.col("hyp").cast("array<bigint>")).alias("b"))
+    return _drawn(spark, d, 3)
+
+
+@query()
+def random_baseline_draws_100(spark, d):
+    return _drawn(spark, d, R.DRAWS)
 
 
 @query(f"""WITH {BASE}, {RANDOM}, q AS (SELECT *, CASE WHEN n_hyp = 0 THEN (n_ref = 0)::DOUBLE ELSE tp / n_hyp END AS p, CASE WHEN n_ref = 0 THEN (n_hyp = 0)::DOUBLE ELSE tp / n_ref END AS rc FROM rp),
 g AS (SELECT *, CASE WHEN p + rc = 0 THEN 0.0 ELSE 2 * p * rc / (p + rc) END AS f1 FROM q)
 SELECT conv_id, count(*) AS draws, round(avg(f1), 6) AS f1_mean, round(min(f1), 6) AS f1_lo, round(max(f1), 6) AS f1_hi FROM g GROUP BY conv_id""")
 def random_baseline_summary(spark, d):
-    s = R.scores(R.scoped(R.random_draws(toks(spark, d), DRAWS))).where("scope = 'within_turn'")
-    return s.groupBy("conv_id").agg(F.count("*").alias("draws"), F.round(F.avg("f1"), 6).alias("f1_mean"), F.round(F.min("f1"), 6).alias("f1_lo"), F.round(F.max("f1"), 6).alias("f1_hi"))
+    return _summary(spark, d, DRAWS)
+
+
+@query()
+def random_baseline_summary_100(spark, d):
+    return _summary(spark, d, R.DRAWS)
 
 
 @query()
@@ -274,23 +293,41 @@ bb AS (SELECT conv_id, avg(CASE WHEN p + rc = 0 THEN 0.0 ELSE 2 * p * rc / (p +
 v AS (SELECT f.conv_id, f.f1 AS am, bm, bx FROM f LEFT JOIN bb USING (conv_id) WHERE scope = 'within_turn')"""
 
 
-def _versus(spark, d):
+def _versus(spark, d, draws):
     """Cue rule (A) and the mean of random draws (B), within turns, side by side through a pivot."""
     t = toks(spark, d)
     a = R.scores(R.scoped(R.arrays(t))).where("scope = 'within_turn'").select("conv_id", F.lit("A").alias("condition"), "f1")
-    b = R.scores(R.scoped(R.random_draws(t, DRAWS))).where("scope = 'within_turn'").select("conv_id", F.lit("B").alias("condition"), "f1")
+    b = R.scores(R.scoped(R.random_draws(t, draws))).where("scope = 'within_turn'").select("conv_id", F.lit("B").alias("condition"), "f1")
     return a.unionByName(b).groupBy("conv_id").pivot("condition", ["A", "B"]).agg(F.avg("f1").alias("mean"), F.max("f1").alias("max"))
 
 
+def _pivot(spark, d, draws):
+    return _versus(spark, d, draws).select("conv_id", F.round("A_mean", 6).alias("a_f1"), F.round("B_mean", 6).alias("b_f1"), F.round("B_max", 6).alias("b_f1_max"), (F.col("A_mean") > F.col("B_max")).alias("a_above_b_max"))
+
+
+def _verdict(spark, d, draws):
+    v = F.when(F.col("A_mean").isNull() | F.col("B_mean").isNull(), "n/a").when(F.round("A_mean", 9) > F.round("B_mean", 9), "beats").otherwise("loses to")
+    return _versus(spark, d, draws).groupBy(v.alias("verdict")).agg(F.count("*").alias("n"))
+
+
 @query(f"{VS} SELECT conv_id, round(am, 6) AS a_f1, round(bm, 6) AS b_f1, round(bx, 6) AS b_f1_max, am > bx AS a_above_b_max FROM v")
 def a_vs_b_pivot(spark, d):
-    return _versus(spark, d).select("conv_id", F.round("A_mean", 6).alias("a_f1"), F.round("B_mean", 6).alias("b_f1"), F.round("B_max", 6).alias("b_f1_max"), (F.col("A_mean") > F.col("B_max")).alias("a_above_b_max"))
+    return _pivot(spark, d, DRAWS)
+
+
+@query()
+def a_vs_b_pivot_100(spark, d):
+    return _pivot(spark, d, R.DRAWS)
 
 
 @query(f"{VS} SELECT CASE WHEN bm IS NULL OR am IS NULL THEN 'n/a' WHEN round(am, 9) > round(bm, 9) THEN 'beats' ELSE 'loses to' END AS verdict, count(*) AS n FROM v GROUP BY 1")
 def verdict_vs_baseline(spark, d):
-    v = F.when(F.col("A_mean").isNull() | F.col("B_mean").isNull(), "n/a").when(F.round("A_mean", 9) > F.round("B_mean", 9), "beats").otherwise("loses to")
-    return _versus(spark, d).groupBy(v.alias("verdict")).agg(F.count("*").alias("n"))
+    return _verdict(spark, d, DRAWS)
+
+
+@query()
+def verdict_vs_baseline_100(spark, d):
+    return _verdict(spark, d, R.DRAWS)
 
 
 @query("""WITH x AS (SELECT conv_id, turn, role, text, md5(concat_ws('|', conv_id, turn)) < '4' AS open FROM conversations),
