@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -32,7 +33,8 @@ class Encoder:
 
     The file's pattern always begins a piece at a space that a visible character follows, so texts are cut there and
     the ids of each word are looked up; words not yet seen go to a byte-pair encoder over the file's own vocabulary,
-    and texts with other white space than single spaces between words are still cut only where that holds.
+    and texts with other white space than single spaces between words are still cut only where that holds. Before that,
+    texts are cut at the file's added tokens, as its tokenizer does.
     """
 
     def __init__(self, path: str):
@@ -40,24 +42,34 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True
         model = json.loads(self.slow.to_str())
-        special = {x["content"] for x in model["added_tokens"]}
+        self.added = {x["content"]: x["id"] for x in model["added_tokens"]}
+        self.cut = re.compile("(" + ("|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) or "(?!)") + ")")
         shown = [b for b in range(256) if chr(b).isprintable() and b not in (32, 160, 173)]
         back = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
-        ranks = {bytes(back[c] for c in k): v for k, v in model["model"]["vocab"].items() if k not in special}
+        ranks = {bytes(back[c] for c in k): v for k, v in model["model"]["vocab"].items() if k not in self.added}
         # Fixed value: the pattern of byte-level tokenizers.
         pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
         self.fast = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.known: dict[str, tuple] = {}
         probe = "It's 12 o'clock,  naïve\tÉtés\n\n  über 3.5% <|endoftext|> \U0001f600 end "
-        if self._encode(probe) != self.slow.encode(probe, add_special_tokens=False).ids:
-            self._encode = lambda text: self.slow.encode(text, add_special_tokens=False).ids
+        # Tokens that take white space or only whole words are left to the file's tokenizer, and so is all if the probe differs.
+        self.whole = any(x["single_word"] or x["lstrip"] or x["rstrip"] for x in model["added_tokens"])
+        self.whole = self.whole or self.ids(probe).tolist() != [*self.slow.encode(probe, add_special_tokens=False).ids, END]
 
     def _encode(self, text: str) -> list[int]:
         return self.fast.encode_ordinary(text)
 
     def ids(self, text: str) -> np.ndarray:
+        if self.whole:
+            return np.array([*self.slow.encode(text, add_special_tokens=False).ids, END], dtype="<u4")
+        parts = self.cut.split(text)  # every second one is an added token
+        found = self._plain(parts[0])
+        for mark, part in zip(parts[1::2], parts[2::2]):
+            found += [self.added[mark], *self._plain(part)]
+        return np.array([*found, END], dtype="<u4")
+
+    def _plain(self, text: str) -> list[int]:
         words = text.split(" ")
         known = self.known
         if len(known) > REMEMBERED:
@@ -74,7 +86,7 @@ class Encoder:
             words, rest = joined, joined[1:]
         for w in set(rest).difference(known):
             known[w] = tuple(self._encode(" " + w))
-        return np.array([*self._encode(words[0]), *chain.from_iterable(map(known.__getitem__, rest)), END], dtype="<u4")
+        return [*self._encode(words[0]), *chain.from_iterable(map(known.__getitem__, rest))]
 
 
 class Packer:

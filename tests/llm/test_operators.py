@@ -175,6 +175,33 @@ def test_encoder_equals_the_tokenizer():
     same()
 
 
+def test_added_tokens_are_those_of_the_file(spark):
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+    from tokenizers import Tokenizer
+
+    path = packing.default_path()
+    slow, encoder = Tokenizer.from_file(path), packing.Encoder(path)
+    assert encoder.ids("see <|endoftext|> here").tolist() == [3826, 220, 50256, 994, 0]
+    assert not encoder.whole
+
+    @settings(max_examples=300, deadline=None)
+    @given(st.lists(st.sampled_from(["<|endoftext|>", "<|endoftext", "|>", " ", "  ", "\n", "a", "it's", "é", "😀"]), max_size=12).map("".join))
+    def same(text):
+        assert encoder.ids(text).tolist() == [*slow.encode(text, add_special_tokens=False).ids, 0]
+
+    same()
+    texts = ["see <|endoftext|> here", "<|endoftext|>", "one<|endoftext|><|endoftext|> two "]
+    got = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), path, scratch(spark)).collect()
+    for i, text in enumerate(texts):
+        ids = np.array([*slow.encode(text, add_special_tokens=False).ids, 0], "<u4")
+        at = 0
+        for r in sorted((r for r in got if r.doc_id == i), key=lambda r: r.start):
+            assert r.start == at and r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[at : at + r.length].tobytes())
+            at += r.length
+        assert at == len(ids)
+
+
 def test_packing_merges(spark, monkeypatch):
     monkeypatch.setattr(packing, "FAN_IN", 3)
     df = spark.createDataFrame([(i, "word " * (i % 50)) for i in range(200)], "doc_id long, text string").repartition(11)
