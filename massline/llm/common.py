@@ -5,13 +5,28 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows handed to one Arrow batch of whole texts; long texts make batches of some MB.
-TEXT_BATCH = 500
+#: Texts, and bytes of text, that are worked on at once; a longer text is alone.
+TEXT_BATCH, TEXT_BYTES = 500, 4 << 20
+
+
+def slices(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of bounded rows and bytes of the text column ``at``."""
+    sizes = np.asarray(pc.binary_length(batch.column(at)).fill_null(0)) if batch.num_rows else np.empty(0, np.int64)
+    upto = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    i = 0
+    while i < batch.num_rows:
+        j = int(np.searchsorted(upto, upto[i] + TEXT_BYTES, side="right")) - 1
+        j = max(i + 1, min(j, i + TEXT_BATCH))
+        yield batch.slice(i, j - i)
+        i = j
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,15 +34,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where none is configured."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        at = spark.sparkContext.getCheckpointDir()
-        if not at:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="massline-"))
-            at = spark.sparkContext.getCheckpointDir()
-        found = at
-    return found.rstrip("/")
+    """The cluster's shared folder. Where none is set: the warehouse, which a cluster shares too, or on one machine a folder of our own."""
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if found:
+        return found.rstrip("/")
+    if sc.master == "local" or sc.master.startswith("local["):
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="massline-"))
+        return sc.getCheckpointDir().rstrip("/")
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
 
 
 def _delete(spark: SparkSession, path: str) -> None:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,9 +18,12 @@ LENGTH = 200
 #: Bytes that an anchor's hash covers; a string of LENGTH bytes holds so many of them, and the least one is its anchor.
 GRAM = 32
 SPAN = LENGTH - GRAM + 1
-#: Contexts of one anchor that are sorted together; beyond, their strings are counted by digest, spread over all tasks.
-HOT = 1500
-#: Suffixes that are sorted at once.
+#: Strings of an anchor are dealt out in groups by where they start; those of one group share LENGTH - GROUP + 1 bytes,
+#: and a hash of these is the key by which pieces of contexts meet. A power of two.
+GROUP = 64
+#: Pieces of one key that meet in one task. Where more would, their groups are halved, so that keys cover more bytes.
+MOST = 3000
+#: Suffixes that are sorted at once, about.
 CHUNK = 150_000
 
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -158,7 +162,7 @@ def _rows(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
         g, at, first, last = anchors(np.frombuffer(data, np.uint8))
         if not len(g):
             continue
-        digests = b"".join([xxhash.xxh3_128_digest(data[a:b]) for a, b in zip(first.tolist(), (last + LENGTH).tolist())])
+        digests = b"".join([hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in zip(first.tolist(), (last + LENGTH).tolist())])
         d = np.frombuffer(digests, "<i8").reshape(-1, 2)
         for k, v in zip(parts, (g.view(np.int64), d[:, 0], d[:, 1], np.full(len(g), ids[i]), np.full(len(g), th[i]), first, at - first, last - first + 1)):
             parts[k].append(v)
@@ -171,16 +175,16 @@ def _batch(columns: dict[str, np.ndarray], kinds: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[k]).cast(types[t]) for k, t in named], names=[k for k, _ in named])
 
 
-CLASS = "anchor long, d1 long, d2 long, times int, id long, th int, first int, off int, n int"
-MEMBER = "d1 long, d2 long, id long, th int, first int, n int"
-SPANS = "id long, th int, start int, end int"
+CLASS = "anchor long, d1 long, d2 long, times int, id long, th long, first int, off int, n int"
+MEMBER = "d1 long, d2 long, id long, th long, first int, n int"
+SPANS = "id long, th long, start int, end int"
 
 
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Anchors with their contexts' digests, equal ones of a batch as one with a count."""
     for whole in batches:
-        for i in range(0, whole.num_rows, common.TEXT_BATCH):
-            rows = _rows(whole.slice(i, common.TEXT_BATCH))
+        for part in common.slices(whole, 2):
+            rows = _rows(part)
             order = np.lexsort((rows["d2"], rows["d1"]))
             d1, d2 = rows["d1"][order], rows["d2"][order]
             head = np.flatnonzero(np.concatenate([[True], (d1[1:] != d1[:-1]) | (d2[1:] != d2[:-1])])) if len(d1) else np.empty(0, np.int64)
@@ -191,50 +195,82 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for i in range(0, whole.num_rows, common.TEXT_BATCH):
-            yield _batch(_rows(whole.slice(i, common.TEXT_BATCH)), MEMBER)
+        for part in common.slices(whole, 2):
+            yield _batch(_rows(part), MEMBER)
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, th, text, list of contexts) -> a row per context with its bytes."""
-    for batch in batches:
-        out: list[tuple] = []
-        ids, th, all_ = (batch.column(i).to_pylist() for i in (0, 1, 3))
-        for i, text in enumerate(batch.column(2)):
-            data = _bytes(text)
-            out += [(c["anchor"], c["m"], c["times"], ids[i], th[i], c["first"], c["off"], c["n"], data[c["first"] : c["first"] + c["n"] - 1 + LENGTH]) for c in all_[i]]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64()] + [pa.int32()] * 4 + [pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["anchor", "m", "times", "id", "th", "first", "off", "n", "ctx"])
+def split(ctx: bytes, place: int, n: int, width: int) -> Iterator[tuple[int, int, int, bytes]]:
+    """(key, place, strings, bytes) of the pieces of a context whose first of n strings starts at a place.
+
+    A place is the distance from the leftmost start that holds the anchor. The strings of a group of ``width`` places
+    share bytes, whichever of them a context has; a key is a hash of these, so equal strings meet under equal keys.
+    """
+    for group in range(place // width, (place + n - 1) // width + 1):
+        low, high = max(place, group * width), min(place + n - 1, group * width + width - 1)
+        shared = ctx[min(group * width + width, SPAN) - 1 - place : group * width + LENGTH - place]
+        yield xxhash.xxh3_64_intdigest(shared, group) - (1 << 63), low, high - low + 1, ctx[low - place : high - place + LENGTH]
+
+
+PIECE = "key long, place int, many boolean, id long, th long, first int, n int, ctx binary"
+
+
+def _piece_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=[x.split()[0] for x in PIECE.split(", ")])
+
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, th, text, list of contexts) -> the pieces of each context."""
+    for whole in batches:
+        for batch in common.slices(whole, 2):
+            ids, th, all_, out = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), []
+            for i, text in enumerate(batch.column(2)):
+                data = _bytes(text)
+                for c in all_[i]:
+                    place = SPAN - 1 - c["off"]
+                    for key, low, n, ctx in split(data[c["first"] : c["first"] + c["n"] - 1 + LENGTH], place, c["n"], GROUP):
+                        out.append((key, low, c["times"] > 1, ids[i], th[i], c["first"] + low - place, n, ctx))
+            yield _piece_batch(out)
+
+
+def _halve(width: int):
+    """Pieces -> their pieces by groups of the given width."""
 
-CONTEXT = "anchor long, m long, times long, id long, th int, first int, off int, n int, ctx binary"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                out += [(key, low, r["many"], r["id"], r["th"], r["first"] + low - r["place"], n, ctx) for key, low, n, ctx in split(r["ctx"], r["place"], r["n"], width)]
+            yield _piece_batch(out)
+
+    return run
 
 
 def _sorted_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contexts in the order of their anchors -> runs of strings that another context of the anchor has."""
+    """Pieces in the order of their keys -> runs of strings that another piece of the key has."""
     held: list[dict] = []
 
     def flush(rows: list[dict]) -> pa.RecordBatch:
         count = np.array([r["n"] for r in rows], np.int64)
-        _, group = np.unique(np.array([r["anchor"] for r in rows], np.int64), return_inverse=True)
-        hit = repeated([r["ctx"] for r in rows], group, np.array([r["off"] for r in rows], np.int64), count)
+        _, group = np.unique(np.array([r["key"] for r in rows], np.int64), return_inverse=True)
+        hit = repeated([r["ctx"] for r in rows], group, -np.array([r["place"] for r in rows], np.int64), count)
         out: tuple = ([], [], [], [])
         begin = np.cumsum(count) - count
         for i, r in enumerate(rows):
-            # A context that has an equal one is covered anyway.
+            # What has an equal one as a whole is covered anyway.
             part = hit[begin[i] : begin[i] + count[i]]
-            if r["times"] > 1 or not part.any():
+            if r["many"] or not part.any():
                 continue
             step = np.diff(np.concatenate([[0], part.astype(np.int8), [0]]))
             for a, b in zip(np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist()):
                 for k, v in zip(out, (r["id"], r["th"], r["first"] + a, r["first"] + b - 1 + LENGTH)):
                     k.append(v)
-        return _batch({"id": np.array(out[0], np.int64), "th": np.array(out[1], np.int64), "start": np.array(out[2], np.int64), "end": np.array(out[3], np.int64)}, SPANS)
+        return _batch({k: np.array(v, np.int64) for k, v in zip(("id", "th", "start", "end"), out)}, SPANS)
 
     held_n = 0
     for batch in batches:
         for r in batch.to_pylist():
-            if held_n >= CHUNK and r["anchor"] != held[-1]["anchor"]:
+            if held_n >= CHUNK and r["key"] != held[-1]["key"]:
                 yield flush(held)
                 held, held_n = [], 0
             held.append(r)
@@ -243,15 +279,31 @@ def _sorted_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush(held)
 
 
-def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contexts of a hot anchor -> a row per string: its digest and place."""
-    for batch in batches:
-        parts: dict[str, list] = {k: [] for k in ("d1", "d2", "id", "th", "first", "n")}
-        for r in batch.to_pylist():
-            d = np.frombuffer(b"".join([xxhash.xxh3_128_digest(r["ctx"][j : j + LENGTH]) for j in range(r["n"])]), "<i8").reshape(-1, 2)
-            for k, v in zip(parts, (d[:, 0], d[:, 1], np.full(r["n"], r["id"]), np.full(r["n"], r["th"]), r["first"] + np.arange(r["n"]), np.ones(r["n"], np.int64))):
-                parts[k].append(v)
-        yield _batch({k: np.concatenate(v) if v else np.empty(0, np.int64) for k, v in parts.items()}, MEMBER)
+def _ends(pieces: DataFrame, scratch: common.Scratch) -> list[DataFrame]:
+    """Pieces -> tables of spans (id, th, start, end) of strings that another piece of their key has.
+
+    Keys with up to MOST pieces are suffix-sorted, each in one task. Larger ones are cut finer: equal pieces become one,
+    compared byte by byte by the aggregation itself, and are repeated as wholes; one of each kind goes on, under the
+    keys of groups half as wide. At a width of one a piece is a single string, so this ends.
+    """
+    out, width = [], GROUP
+    while True:
+        sizes = pieces.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+        met = pieces.join(sizes, "key")
+        dealt = met.where(F.col("c") <= MOST).drop("c").repartition("key").sortWithinPartitions("key")
+        out.append(dealt.mapInArrow(_sorted_runs, SPANS))
+        if (sizes.agg(F.max("c")).first()[0] or 0) <= MOST:
+            return out
+        hot = scratch.save(met.where(F.col("c") > MOST).drop("c"))
+        same = ["key", "place", "n", "ctx"]
+        kinds = scratch.save(hot.groupBy(same).agg(F.count("*").alias("c"), F.max("many").alias("many"), F.min(F.struct("id", "th", "first")).alias("at")))
+        whole = hot.join(kinds.where("c > 1").select(same), same)
+        out.append(whole.select("id", "th", F.col("first").alias("start"), (F.col("first") + F.col("n") - 1 + LENGTH).alias("end")))
+        if width == 1:
+            return out
+        width //= 2
+        one = kinds.select("key", "place", (F.col("many") | (F.col("c") > 1)).alias("many"), "at.id", "at.th", "at.first", "n", "ctx")
+        pieces = scratch.save(one.mapInArrow(_halve(width), PIECE))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -269,37 +321,29 @@ def find(docs: DataFrame, scratch: common.Scratch) -> tuple[DataFrame, DataFrame
     """docs (doc_id, text) -> (src: id, th, text for each row; spans: id, th, list of covered intervals).
 
     1. Every text's strings of 200 bytes fall to anchors, one for each 85 bytes or so; an anchor's context is all bytes
-       of its strings. Contexts are counted by 128-bit digest, after equal ones of a batch were added up.
+       of its strings. Contexts are counted by a 128-bit cryptographic digest, after equal ones of a batch were added up.
     2. All strings of a context that occurs twice are repeated, so its bytes are covered.
-    3. Anchors with different contexts, at the ends of repeats, go on: one row of each context fetches its bytes, and
-       contexts of one anchor are suffix-sorted together. Anchors with very many different contexts have each of their
-       strings counted by digest instead, with partial sums before the shuffle.
+    3. Anchors with different contexts, at the ends of repeats, go on: one row of each context fetches its bytes, which
+       fall to pieces by the places of their strings, and the pieces that share a key are suffix-sorted together.
     """
-    src = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), F.hash("text").alias("th"), "text")
+    src = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), F.xxhash64("text").alias("th"), "text")
     raw = src.mapInArrow(_classes, CLASS).repartition("anchor")
-    first = [F.first(c).alias(c) for c in ("id", "th", "first", "off", "n")]
-    counted = raw.groupBy("anchor", "d1", "d2").agg(F.sum("times").alias("times"), *first)
+    counted = raw.groupBy("anchor", "d1", "d2").agg(F.sum("times").alias("times"), F.first(F.struct("id", "th", "first", "off", "n")).alias("at"))
     kinds = counted.withColumn("m", F.count("*").over(Window.partitionBy("anchor")))
-    classes = scratch.save(kinds.where("times > 1 or m > 1"))
+    classes = scratch.save(kinds.where("times > 1 or m > 1").select("d1", "d2", "times", "m", "at.*"))
     twice = classes.where("times > 1").select("d1", "d2")
     members = src.mapInArrow(_members, MEMBER).join(twice, ["d1", "d2"]).select("id", "th", F.col("first").alias("start"), (F.col("first") + F.col("n") - 1 + LENGTH).alias("end"))
-    wanted = classes.where("m > 1").groupBy("id", "th").agg(F.collect_list(F.struct("anchor", "m", "times", "first", "off", "n")).alias("all"))
+    wanted = classes.where("m > 1").groupBy("id", "th").agg(F.collect_list(F.struct("times", "first", "off", "n")).alias("all"))
     # Rows that repeat an id and a text have the same contexts; one of them is enough here.
-    texts = src.join(wanted, ["id", "th"]).select("id", "th", "text", "all")
-    contexts = scratch.save(texts.mapInArrow(_contexts, CONTEXT).dropDuplicates(["anchor", "id", "th", "first"]))
-    fine = contexts.where(F.col("m") <= HOT)
-    dealt = fine.repartition("anchor").sortWithinPartitions("anchor")
-    ends = dealt.mapInArrow(_sorted_runs, SPANS)
-    # A context that occurs twice brings its strings in, but they count once; they meet others of the anchor.
-    strings = contexts.where(F.col("m") > HOT).mapInArrow(_strings, MEMBER)
-    often = strings.groupBy("d1", "d2").agg(F.count("*").alias("c")).where("c > 1").select("d1", "d2")
-    hot = strings.join(often, ["d1", "d2"]).select("id", "th", F.col("first").alias("start"), (F.col("first") + LENGTH).alias("end"))
-    spans = members.unionAll(ends.select("id", "th", "start", "end")).unionAll(hot)
+    texts = src.join(wanted, ["id", "th"]).dropDuplicates(["id", "th"]).select("id", "th", "text", "all")
+    spans = members
+    for more in _ends(scratch.save(texts.mapInArrow(_pieces, PIECE)), scratch):
+        spans = spans.unionAll(more.select("id", "th", "start", "end"))
     return src, spans.groupBy("id", "th").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in chain.from_iterable(common.slices(b, 1) for b in batches):
         ids, spans, out = batch.column(0).to_pylist(), batch.column(2).to_pylist(), ([], [], [], [], [])
         for i, text in enumerate(batch.column(1)):
             data = _bytes(text)

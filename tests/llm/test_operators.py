@@ -248,23 +248,53 @@ def plain_repeats(texts):
     return out
 
 
-@pytest.mark.parametrize("hot", [1500, 1])
-def test_substrings(spark, docs, rows, empty, hot, monkeypatch):
-    monkeypatch.setattr(substrings, "HOT", hot)
-    some = [r for r in rows if len(r[1] or "") < 20000]
-    data = [(r[1] or "").encode() for r in some]
-    covers = plain_repeats(data)
+def plain_removal(rows):
+    data = [(t or "").encode() for _, t in rows]
+    want = defaultdict(list)
+    for (i, _), b, c in zip(rows, data, plain_repeats(data)):
+        want[i].append((len(b), sum(c), len([x for x in bytes(c).split(b"\0") if x]), hashlib.sha256(bytes(x for x, k in zip(b, c) if not k)).hexdigest()))
+    return {k: sorted(v) for k, v in want.items()}
+
+
+def removal(df, spark):
     got = defaultdict(list)
-    for r in substrings.remove(docs.where("length(text) < 20000 or text is null"), scratch(spark)).collect():
+    for r in substrings.remove(df, scratch(spark)).collect():
         got[r.doc_id].append((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256))
-    want = defaultdict(list)
-    for r, b, c in zip(some, data, covers):
-        want[r[0]].append((len(b), sum(c), len([x for x in bytes(c).split(b"\0") if x]), hashlib.sha256(bytes(x for x, k in zip(b, c) if not k)).hexdigest()))
-    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
-    assert any(v[0][1] for v in want.values())
+    return {k: sorted(v) for k, v in got.items()}
+
+
+@pytest.mark.parametrize("most", [3000, 1])
+def test_substrings(spark, docs, rows, empty, most, monkeypatch):
+    monkeypatch.setattr(substrings, "MOST", most)
+    monkeypatch.setattr(common, "TEXT_BYTES", 20_000)
+    want = plain_removal([(r[0], r[1]) for r in rows])
+    assert removal(docs, spark) == want and any(v[0][1] for v in want.values())
     assert substrings.remove(empty, scratch(spark)).count() == 0
 
 
+@pytest.mark.parametrize("most", [3000, 7])
+def test_substrings_hot_anchor(spark, most, monkeypatch):
+    """One line, and one passage, in many texts: all contexts of an anchor differ, most by what is around them."""
+    monkeypatch.setattr(substrings, "MOST", most)
+    rng = random.Random(12)
+    line, passage = prose(rng, 16)[:120], prose(rng, 60)[:320]
+    data = [(i, f"{prose(rng, 25)} {line if i % 3 else passage}{rng.choice('ab')} {prose(rng, 25)}") for i in range(90)]
+    want = plain_removal(data)
+    assert removal(spark.createDataFrame(data, "doc_id long, text string").repartition(4), spark) == want
+    assert sum(v[0][1] > 0 for v in want.values()) >= 30
+
+
+def test_pieces_share_keys():
+    """Two contexts with an equal string have pieces with that string under one key, at every width."""
+    rng = np.random.default_rng(1)
+    text = rng.integers(97, 123, 400).astype(np.uint8).tobytes()
+    for width in (64, 16, 1):
+        for place in (0, 3, 60, 168):
+            whole = [(k, p + j, c[j : j + 200]) for k, p, n, c in substrings.split(text[:368][: 200 + 168 - place], place, 169 - place, width) for j in range(n)]
+            part = [(k, p + j, c[j : j + 200]) for k, p, n, c in substrings.split(text[5:368][: 200 + 160 - place], place + 5, 161 - place, width) for j in range(n)] if place + 5 <= 168 - 5 else []
+            assert len(whole) == 169 - place and set(part) <= set(whole)
+
+
 def test_suffix_sort_against_sets():
     rng = np.random.default_rng(0)
     for _ in range(20):
