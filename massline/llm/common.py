@@ -93,6 +93,23 @@ def components_of(linked: np.ndarray) -> np.ndarray:
         root = low
 
 
+#: A node that has more than one in so many of all edges, and more than BUSY, is a hub; there are at most twice as many hubs.
+HUBS, BUSY = 1000, 50_000
+
+
+def _to_least(arcs: DataFrame, least: DataFrame, n: int) -> DataFrame:
+    """arcs (a, b) with the m of each a in least (a, m, deg); n is the number of edges.
+
+    Hubs come by a broadcast of at most 2 * HUBS rows, so that no task gathers one's edges.
+    """
+    if n <= BUSY:
+        return arcs.join(least.select("a", "m"), "a")
+    busy = max(BUSY, n // HUBS)
+    hubs = F.broadcast(least.where(F.col("deg") > busy).select("a", "m"))
+    rest = arcs.join(hubs.select("a"), "a", "left_anti").join(least.where(F.col("deg") <= busy).select("a", "m"), "a")
+    return arcs.join(hubs, "a").unionByName(rest)
+
+
 def connected_components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """(a, b) long pairs, in any direction -> (node, component), the smallest node that each one reaches.
 
@@ -110,10 +127,10 @@ def connected_components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     before = mark(here)
     while before[0]:
         both = arcs(here)
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("deg")).select("a", F.least("a", "m").alias("m"), "deg")
+        large = _to_least(both, least, before[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("deg"))
+        small = _to_least(large, low, before[0]).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         after = scratch.save(small.unionAll(low.select("a", F.col("m").alias("b"))).distinct())
         now = mark(after)
         scratch.drop(here)

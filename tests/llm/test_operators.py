@@ -453,7 +453,6 @@ def test_near_duplicates(spark, docs, rows, empty, width, num):
 
 def test_near_duplicates_family(spark, monkeypatch):
     """A family of copies of copies, with groups in blocks."""
-    monkeypatch.setattr(near_dup, "FEW", 3)
     monkeypatch.setattr(near_dup, "BLOCK", 16)
     rng = random.Random(8)
     base = prose(rng, 120).split()
@@ -469,13 +468,48 @@ def test_near_duplicates_family(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
 
 
-def test_components(spark):
+def test_near_duplicates_of_one_id(spark):
+    """Two texts share an id: links of either are found, whatever the order of the rows."""
+    rng = random.Random(18)
+    a, b = prose(rng, 90), prose(rng, 90)
+    data = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (9, b), (9, a + " else"), (8, prose(rng, 90)), (1, a)]
+    for order in (data, data[::-1]):
+        got = near_dup.groups(spark.createDataFrame(order, "doc_id long, text string").coalesce(1), scratch(spark)).collect()
+        assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (1, 1), (1, 1), (2, 1), (3, 1), (8, 8), (9, 1), (9, 1)]
+        assert len({r.group for r in got}) == 3
+
+
+def test_sketch_estimates():
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 60, n).astype(np.uint64)) * np.uint64(2**58) for n in (3, 40, 60, 90, 200)]
+    k = 16
+    sketch = near_dup.padded([x[:k] for x in sets], k)
+    for i, x in enumerate(sets):
+        hit, size = near_dup.estimates(sketch[i], sketch)
+        for j, y in enumerate(sets):
+            union = np.union1d(x, y)[:k]
+            assert size[j] == len(union) and hit[j] == sum(v in x[:k] and v in y[:k] for v in union)
+
+
+def test_shingle_counts():
+    rng = random.Random(2)
+    for width in (1, 3, 5):
+        for n in (0, 1, 2, 4, 5, 30, 3000):
+            for kinds in (2, 20, 5000):
+                words = [b"w%d" % rng.randrange(kinds) for _ in range(n)]
+                assert near_dup.n_shingles(words, width) == len(near_dup.shingle_set(words, width))
+    assert near_dup.n_shingles([b"w%d" % (i % 300_000) for i in range(300_010)], 5) == 300_000
+
+
+@pytest.mark.parametrize("busy", [50_000, 3])
+def test_components(spark, busy, monkeypatch):
     rng = random.Random(3)
-    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(260)] + [(i, i + 1) for i in range(1000, 1060)]
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(260)] + [(i, i + 1) for i in range(1000, 1060)] + [(2000, 2001 + i) for i in range(50)]
     parent = {}
     find = lambda x: x if parent.setdefault(x, x) == x else find(parent[x])
     for a, b in edges:
         p, q = find(a), find(b)
         parent[max(p, q)] = min(p, q)
+    monkeypatch.setattr(common, "BUSY", busy)
     got = common.connected_components(scratch(spark), spark.createDataFrame(edges, "a long, b long")).collect()
     assert all(r.component == find(r.node) for r in got) and len(got) == len({x for e in edges if e[0] != e[1] for x in e})
