@@ -21,11 +21,14 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, by five-word shingles at a similarity of 0.8: the smallest id.
 
-    Rows that repeat an id count as one document; rows without an id stay.
+    Different texts that share an id are different documents; rows that repeat an id and a text count as one. Texts
+    without words and rows without an id belong to no group and stay.
     """
     found = near_dup.groups(docs, common.Scratch(spark, "near"), width=5, num=80, den=100)
-    ids = found.where("kept and doc_id is not null").select("doc_id")
-    return docs.join(ids, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]).unionAll(docs.where("doc_id is null"))
+    one = found.where("group is not null").groupBy("group").agg(F.min(F.struct("doc_id", "th")).alias("x")).select("x.*")
+    bare = found.where("group is null and doc_id is not null").select("doc_id", "th")
+    kept = docs.withColumn("_th", F.xxhash64("text")).join(one.unionAll(bare).select(F.col("doc_id").alias("_id"), F.col("th").alias("_t")), (F.col("doc_id").cast("long") == F.col("_id")) & (F.col("_th") == F.col("_t")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_th"]).select(docs.columns).unionAll(docs.where("doc_id is null"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
