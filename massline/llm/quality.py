@@ -12,11 +12,14 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Labelled documents of each class that the field is fitted on, at most: those whose ids hash lowest.
-SAMPLE = 1500
+#: Labelled documents of each class that the field is fitted on, at most: those whose ids hash lowest, of up to MOST_LINES
+#: lines each and LINES in all.
+SAMPLE, MOST_LINES, LINES = 1500, 500, 200_000
 #: From here on a document counts as good.
 THRESHOLD = 0.3
 STEPS, RATE, RIDGE = 120, 0.15, 0.02
+#: Share of a labelled text, by length, that its lines' hidden labels must agree with in the mean: good texts, bad texts.
+AGREE = (0.95, 0.7)
 
 # Byte classes. 0 other, 1 lower or non-ASCII, 2 upper, 3 digit, 4 space, 5 stop, 6 mark.
 _CLASS = np.zeros(256, np.uint8)
@@ -91,41 +94,74 @@ class Chains:
         return (alpha * beta)[:, 1], expected
 
 
+def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope, not below 1, and intercept of P(y) along x, by Newton's steps with a light ridge."""
+    a, c = 1.0, 0.0
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(a * x + c, -30, 30)))
+        h = p * (1 - p) + 1e-9
+        g = np.array([(x * (y - p)).sum() - 0.05 * a, (y - p).sum() - 0.05 * c])
+        m = np.array([[(h * x * x).sum() + 0.05, (h * x).sum()], [(h * x).sum(), h.sum() + 0.05]])
+        move = np.clip(np.linalg.solve(m, g), -2, 2)
+        a, c = max(1.0, a + move[0]), c + move[1]
+    return a, c
+
+
 class Field:
-    def __init__(self, mean, std, weights, trans):
-        self.mean, self.std, self.weights, self.trans = mean, std, weights, trans
+    """Weights of a line's features, transition weights, and the calibration of a text's share of good lines."""
 
-    def scores(self, texts: list[str]) -> np.ndarray:
-        lines, size, own = line_features(texts)
+    def __init__(self, mean, std, weights, trans, slope=1.0, shift=0.0):
+        self.mean, self.std, self.weights, self.trans, self.slope, self.shift = mean, std, weights, trans, slope, shift
+
+    def shares(self, lines: np.ndarray, size: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(length-weighted mean over lines of P(good), length) of each text."""
         x = with_neighbours(lines, (own - self.mean) / self.std)
         good, _ = Chains(lines).marginals(x @ self.weights, self.trans)
         first = np.cumsum(lines) - lines
         total = np.add.reduceat(size, first)
-        return np.where(total > 0, np.add.reduceat(good * size, first) / np.maximum(total, 1), 0.0)
+        return np.add.reduceat(good * size, first) / np.maximum(total, 1), total
+
+    def scores(self, texts: list[str]) -> np.ndarray:
+        share, total = self.shares(*line_features(texts))
+        return np.where(total > 0, 1 / (1 + np.exp(-np.clip(self.slope * share + self.shift, -30, 30))), 0.0)
 
 
 def fit(lines: np.ndarray, own: np.ndarray, label: np.ndarray) -> Field:
-    """Maximum likelihood with a ridge; every line of a labelled text carries the text's label."""
+    """The field from texts' labels alone: which lines of a text are good or bad stays hidden.
+
+    A generalised EM. Given a text's label, its lines' labels are those of the field under the constraint that, by
+    length, a share of them agrees with it in the mean; one multiplier a text, raised while the share falls short,
+    enforces that. So a bad text may hold good lines, and transitions between the two are seen. Each step moves the
+    weights by the difference of these marginals and transitions and the field's own. At last the texts' shares of good
+    lines are calibrated against their labels.
+    """
     mean, std = own.mean(0), own.std(0) + 1e-6
     x = with_neighbours(lines, (own - mean) / std)
-    y = np.repeat(label.astype(float), lines)
-    # Each text weighs the same, however many lines it has.
-    weight = np.repeat(1 / lines, lines)
+    first, of = np.cumsum(lines) - lines, np.repeat(np.arange(len(lines)), lines)
+    size = np.expm1(own[:, 0])
+    part = size / np.maximum(np.add.reduceat(size, first), 1)[of]
+    # Each text weighs the same, however many lines it has, and so does each class.
+    each = np.where(label == 1, 0.5 / max(1, (label == 1).sum()), 0.5 / max(1, (label == 0).sum()))
+    weight = (each / lines)[of]
+    toward, need = np.where(label == 1, 1.0, -1.0), np.where(label == 1, *AGREE)
+    pull = part * lines[of] * toward[of]
     chains = Chains(lines)
-    w, trans = np.zeros(x.shape[1]), np.zeros((2, 2))
-    first = np.cumsum(lines) - lines
-    inner = np.ones(len(y), bool)
-    inner[first] = False
-    seen = np.zeros((2, 2))
-    np.add.at(seen, (np.roll(y, 1)[inner].astype(int), y[inner].astype(int)), 1)
+    w, trans, force = np.zeros(x.shape[1]), np.zeros((2, 2)), np.full(len(lines), 2.0)
     m1, m2 = np.zeros(w.size + 4), np.zeros(w.size + 4)
     for step in range(1, STEPS + 1):
-        p, expected = chains.marginals(x @ w, trans, True)
-        g = np.concatenate([x.T @ ((y - p) * weight) / len(lines) - RIDGE * w, ((seen - expected) / len(y)).ravel() - RIDGE * trans.ravel()])
+        score = x @ w
+        p, expected = chains.marginals(score, trans, True)
+        q, seen = chains.marginals(score + force[of] * pull, trans, True)
+        good = np.add.reduceat(q * part, first)
+        force = np.clip(force + 2 * (need - np.where(label == 1, good, 1 - good)), 0, 12)
+        g = np.concatenate([x.T @ ((q - p) * weight) - RIDGE * w, ((seen - expected) / len(x)).ravel() - RIDGE * trans.ravel()])
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g
         move = RATE * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)
         w, trans = w + move[:-4], trans + move[-4:].reshape(2, 2)
-    return Field(mean, std, w, trans)
+    field = Field(mean, std, w, trans)
+    share, _ = field.shares(lines, size, own)
+    field.slope, field.shift = logistic(share, label.astype(float))
+    return field
 
 
 def held_out(doc_id):
@@ -147,30 +183,36 @@ def sample_ids(labels: DataFrame, column: str, most: int) -> DataFrame:
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            lines, _, own = line_features(batch.column(0).to_pylist())
-            cuts = np.concatenate([[0], np.cumsum(lines)])
-            rows = [own[a:b].astype("<f4").tobytes() for a, b in zip(cuts, cuts[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(rows, pa.binary())], names=["label", "own"])
+    for batch in (b for whole in batches for b in common.slices(whole, 1)):
+        lines, _, own = line_features(batch.column(1).to_pylist())
+        cuts = np.concatenate([[0], np.cumsum(lines)])
+        keep = np.flatnonzero(lines <= MOST_LINES)
+        rows = [own[cuts[i] : cuts[i + 1]].astype("<f4").tobytes() for i in keep]
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), batch.column(2).take(pa.array(keep)), pa.array(rows, pa.binary())], names=["doc_id", "label", "own"])
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Field | float:
     """The field, or the share of good labels where one class is missing (0.5 without any label)."""
     ids = sample_ids(labels, "quality", most)
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "label").mapInArrow(_extract, "label int, own binary").collect()
-    rows.sort(key=lambda r: (r["label"], r["own"]))
-    label = np.array([r["label"] for r in rows])
-    if len(set(label.tolist())) < 2:
-        return float(label.mean()) if len(label) else 0.5
-    parts = [np.frombuffer(r["own"], "<f4").reshape(-1, N_OWN).astype(float) for r in rows]
-    return fit(np.array([len(p) for p in parts]), np.vstack(parts), label)
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label").mapInArrow(_extract, "doc_id long, label int, own binary")
+    parts, label, total = [], [], 0
+    # At most 2 * most rows, and so many lines; the order makes the choice the same in every run.
+    for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id", "own").toLocalIterator():
+        own = np.frombuffer(r["own"], "<f4").reshape(-1, N_OWN).astype(float)
+        if total + len(own) > LINES:
+            break
+        parts.append(own)
+        label.append(r["label"])
+        total += len(own)
+    if len(set(label)) < 2:
+        return float(np.mean(label)) if label else 0.5
+    return fit(np.array([len(p) for p in parts]), np.vstack(parts), np.array(label))
 
 
 def score(docs: DataFrame, field: Field | float) -> DataFrame:
-    """docs -> its columns plus score, the length-weighted mean over lines of P(good). Null and empty texts score 0.
+    """docs -> its columns plus score: the length-weighted mean over lines of P(good), calibrated. Null and empty texts score 0.
 
-    A column of docs called score is replaced. Rows are independent of each other.
+    A column of docs called score is replaced. Rows are independent of each other; repeated rows score alike.
     """
     docs = docs.drop("score")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
@@ -178,8 +220,7 @@ def score(docs: DataFrame, field: Field | float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, common.TEXT_BATCH):
-                part = batch.slice(i, common.TEXT_BATCH)
+            for part in common.slices(batch, at):
                 texts = part.column(at).to_pylist()
                 s = field.scores(texts) if isinstance(field, Field) else np.array([field if t else 0.0 for t in texts])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.clip(s, 0, 1))], names=[*part.schema.names, "score"])
