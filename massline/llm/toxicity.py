@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -18,21 +17,25 @@ from .quality import held_out, sample_ids, training
 
 #: Labelled documents of each class that voters, label model and classifier are fitted on, at most.
 SAMPLE = 6000
-#: Least documents and least precision of a mined pattern, and the most patterns kept.
-SUPPORT, PRECISION, MINED = 4, 0.6, 3000
+#: Least precision of a mined pattern, and how unlikely its count among toxic documents must be by chance (as -log).
+PRECISION, SURPRISE = 0.6, math.log(1e9)
 #: Prefix lengths that patterns are mined from, besides whole words.
 PREFIXES = (4, 5, 6, 7, 8)
 REMEMBERED = 300_000
-#: How often a label is taken to be right.
-ACCURACY = 0.97
+#: Rounds of EM, the information (in nats) that two voters must share within a class to be linked, and steps of the classifier.
+ROUNDS, LINKED = 30, 0.002
 STEPS, RATE, RIDGE = 300, 0.2, 1e-3
 
-# Words of insult that need no mining.
-INSULTS = frozenset("idiot moron stupid loser scum trash worthless pathetic disgusting clown dumb jerk imbecile vermin filth".split())
+# Words of insult in four languages, that need no mining.
+INSULTS = frozenset(
+    """idiot moron stupid loser scum trash worthless pathetic disgusting clown dumb jerk imbecile vermin filth fool cretin dimwit
+    halfwit coward creep pig rat maggot parasite freak idiote imbécile crétin abruti ordure salaud débile minable pourriture
+    raclure dummkopf trottel vollidiot abschaum versager arschloch schwachkopf ungeziefer estúpido imbécil basura escoria payaso
+    asqueroso miserable inútil cretino""".split()
+)
 _WORD = re.compile(r"[^\W\d_]{3,}")
-#: Lexicon voters by kind of pattern and a hash bucket of it, the fixed lexicon, and two pattern voters.
-BUCKETS = 3
-VOTERS = ["insults", "address", "shouting"] + [f"{k}{b}" for k in ("word", "short", "long") for b in range(BUCKETS)]
+#: Voters that are always there; every mined pattern is one more.
+FIXED = ("insults", "address", "shouting")
 
 
 def words_of(text: str | None) -> set[str]:
@@ -43,11 +46,6 @@ def features(word: str) -> list[str]:
     return [f"={word}", *[f"{word[:n]}" for n in PREFIXES if len(word) >= n]]
 
 
-def voter_of(feature: str) -> str:
-    kind = "word" if feature[0] == "=" else "short" if len(feature) < 6 else "long"
-    return f"{kind}{zlib.crc32(feature.encode()) % BUCKETS}"
-
-
 class _Hits(dict):
     """Word -> the mined patterns that it shows, remembered in bounded number."""
 
@@ -65,18 +63,10 @@ class _Hits(dict):
 _ADDRESS = re.compile(r"\b(?:you|your|du|tu|vous|usted)\W+(?:\w+\W+){0,2}(?:" + "|".join(sorted(INSULTS)) + r")\b")
 
 
-def votes(text: str | None, words: set[str], hits: _Hits) -> np.ndarray:
-    """1 toxic, -1 clean, 0 no opinion, for each voter."""
-    text = text or ""
-    out = dict.fromkeys(VOTERS, -1)
-    out["insults"] = 1 if words & INSULTS else -1
-    out["address"] = 1 if words & INSULTS and _ADDRESS.search(text.lower()) else 0
-    out["shouting"] = 1 if len(text) > 20 and text.count("!") * 8 > len(text) and words & INSULTS else 0
-    for f, n in counts(words, hits).items():
-        # One word of a short prefix may be chance; two are not.
-        v = voter_of(f)
-        out[v] = max(out[v], 1 if n > 1 or not v.startswith("short") else 0)
-    return np.array([out[v] for v in VOTERS])
+def fixed_votes(text: str | None, words: set[str]) -> list[bool]:
+    """Votes of the fixed lexicon and of the two pattern voters."""
+    text, named = text or "", bool(words & INSULTS)
+    return [named, named and bool(_ADDRESS.search(text.lower())), len(text) > 20 and text.count("!") * 8 > len(text)]
 
 
 def counts(words: set[str], hits: _Hits) -> dict[str, int]:
@@ -91,36 +81,82 @@ def levels(words: set[str], hits: _Hits) -> list[float]:
 
 
 class LabelModel:
-    """Two classes; each voter has its chances of voting toxic, clean or nothing in either, found by EM.
-
-    A training label votes too, with a fixed accuracy, so that EM settles on what the labels mean without taking any
-    single one for certain.
+    """A generative model of the hidden label and the votes, fitted by EM on the votes alone.
 
-    Voters that agree more often within a class than independence allows share their evidence: a voter's log-odds are
-    divided by one plus the sum of its positive correlations given the class.
+    Its parameters are the share of toxic documents, each voter's chance of voting in either class (its accuracy), and,
+    where voters agree more within a class than independence allows, the chance given another voter's vote (their
+    correlation): links form the tree of the largest conditional mutual information, so that a family of patterns that
+    always come together counts about once. Labels choose the voters and set the chances that EM starts from; they are
+    no part of a posterior.
     """
 
-    def fit(self, v: np.ndarray, label: np.ndarray) -> LabelModel:
-        prior, self.label = label.mean(), label
-        cast = np.stack([v == -1, v == 0, v == 1], 2).astype(float)
-        p = np.where(label == 1, ACCURACY, 1 - ACCURACY)
-        self.share = np.ones(v.shape[1])
-        for _ in range(30):
-            self.chance = np.stack([(cast * q[:, None, None]).sum(0) + 0.5 for q in (1 - p, p)])
-            self.chance /= self.chance.sum(2, keepdims=True)
-            self.prior = float(np.clip(0.5 * p.mean() + 0.5 * prior, 1e-3, 1 - 1e-3))
-            p = self.posterior(v)
-            mean = [(v * q[:, None]).sum(0) / max(q.sum(), 1e-9) for q in (1 - p, p)]
-            rest = v - (1 - p)[:, None] * mean[0] - p[:, None] * mean[1]
-            sd = np.sqrt((rest**2).mean(0)) + 1e-3
-            corr = (rest.T @ rest) / len(v) / np.outer(sd, sd)
-            np.fill_diagonal(corr, 0)
-            self.share = 1 / (1 + np.clip(corr, 0, 1).sum(1))
-        return self
+    def __init__(self, prior: float, parent: np.ndarray, chance: np.ndarray):
+        #: chance[y, j, vote of the parent, vote]; without a parent both rows are the same.
+        self.prior, self.parent, self.chance = prior, parent, chance
+
+    @staticmethod
+    def maximised(v: np.ndarray, p: np.ndarray, weight: np.ndarray, parent: np.ndarray) -> LabelModel:
+        """The parameters that fit votes best, given each row's chance of being toxic."""
+        chance = np.empty((2, v.shape[1], 2, 2))
+        for y, q in enumerate((1 - p, p)):
+            q = q * weight
+            total = q.sum()
+            one = (q @ v + 0.5 / len(v)) / (total + 1 / len(v))
+            chance[y, :, :, 1] = one[:, None]
+            for j in np.flatnonzero(parent >= 0):
+                a = v[:, parent[j]]
+                for on in (0, 1):
+                    r = q * (a == on)
+                    # A light pull to the voter's chance without its parent.
+                    chance[y, j, on, 1] = (r @ v[:, j] + one[j] * 2 / len(v)) / (r.sum() + 2 / len(v))
+        chance[..., 1] = np.clip(chance[..., 1], 1e-6, 1 - 1e-6)
+        chance[..., 0] = 1 - chance[..., 1]
+        return LabelModel(float(np.clip((p * weight).sum() / weight.sum(), 1e-4, 1 - 1e-4)), parent, chance)
+
+    @staticmethod
+    def linked(v: np.ndarray, p: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Parent of each voter in the tree of the largest mutual information given the label, or -1."""
+        n = v.shape[1]
+        info = np.zeros((n, n))
+        for q in (1 - p, p):
+            q = q * weight / weight.sum()
+            share = q.sum()
+            both = (v * q[:, None]).T @ v
+            on = q @ v
+            for x, y in ((1, 1), (1, 0), (0, 1), (0, 0)):
+                joint = both if (x, y) == (1, 1) else on[:, None] - both if (x, y) == (1, 0) else on[None, :] - both if (x, y) == (0, 1) else share - on[:, None] - on[None, :] + both
+                a, b = (on if x else share - on)[:, None], (on if y else share - on)[None, :]
+                joint = np.maximum(joint, 1e-15)
+                info += joint * np.log(joint * share / np.maximum(a * b, 1e-30))
+        parent, best, link = np.full(n, -1), np.full(n, -np.inf), np.full(n, -1)
+        left = np.ones(n, bool)
+        for _ in range(n):
+            # Prim's way: the voter outside that shares most with one inside, or a new root where none shares enough.
+            at = int(np.argmax(np.where(left, best, -np.inf))) if (best[left] > LINKED).any() else int(np.flatnonzero(left)[0])
+            parent[at], left[at] = (link[at] if best[at] > LINKED else -1), False
+            closer = left & (info[at] > best)
+            best[closer], link[closer] = info[at][closer], at
+        return parent
+
+    @classmethod
+    def fit(cls, v: np.ndarray, calibrated: np.ndarray, weight: np.ndarray) -> LabelModel:
+        """v: rows x voters of 0 and 1; calibrated: what labels say of the rows, to start from; weight of each row."""
+        v = v.astype(float)
+        alone = np.full(v.shape[1], -1)
+        model = cls.maximised(v, calibrated, weight, alone)
+        for i in range(ROUNDS):
+            p = model.posterior(v)
+            if i in (0, 3):
+                alone = cls.linked(v, p, weight)
+            model = cls.maximised(v, p, weight, alone)
+        return model
 
     def posterior(self, v: np.ndarray) -> np.ndarray:
         odds = np.log(self.chance[1]) - np.log(self.chance[0])
-        z = math.log(self.prior / (1 - self.prior)) + np.where(self.label == 1, 1, -1) * math.log(ACCURACY / (1 - ACCURACY)) + sum(odds[j][v[:, j] + 1] * self.share[j] for j in range(v.shape[1]))
+        z = np.full(len(v), math.log(self.prior / (1 - self.prior)))
+        votes = v.astype(int)
+        for j, a in enumerate(self.parent):
+            z += odds[j][votes[:, a] if a >= 0 else 0, votes[:, j]]
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -143,51 +179,47 @@ class Toxicity:
 
 
 def _mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, label) -> pattern, documents of either class that show it."""
+    """(text, label) -> pattern, documents of either class that show it, added up as far as memory goes."""
     seen: tuple[Counter, Counter] = (Counter(), Counter())
-    for batch in batches:
-        for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            seen[label].update({f for w in words_of(text) for f in features(w)})
-    keys = list(seen[1])
-    for i in range(0, len(keys), 50_000):
-        part = keys[i : i + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([seen[1][k] for k in part], pa.int64())], names=["feature", "toxic"])
 
+    def out() -> pa.RecordBatch:
+        keys = [*seen[1], *(k for k in seen[0] if k not in seen[1])]
+        columns = [pa.array(keys, pa.string()), *[pa.array([seen[y][k] for k in keys], pa.int64()) for y in (1, 0)]]
+        for c in seen:
+            c.clear()
+        return pa.RecordBatch.from_arrays(columns, names=["feature", "toxic", "clean"])
 
-def _count_clean(mined: dict):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hits, seen = _Hits(mined), Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen.update({f for w in words_of(text) for f in hits[w]})
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["feature", "clean"])
-
-    return run
+    for batch in (b for whole in batches for b in common.slices(whole, 0)):
+        for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            seen[label].update({f for w in words_of(text) for f in features(w)})
+        if len(seen[0]) + len(seen[1]) > REMEMBERED:
+            yield out()
+    yield out()
 
 
 def _represent(mined: dict):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hits = _Hits(mined)
-        for batch in batches:
+        for batch in (b for whole in batches for b in common.slices(whole, 0)):
             v, found, times, level = [], [], [], []
             for text in batch.column(0).to_pylist():
                 words = words_of(text)
-                v.append(votes(text, words, hits).tolist())
+                v.append(fixed_votes(text, words))
                 by = sorted(counts(words, hits).items())
                 found.append([f for f, _ in by])
                 times.append([n for _, n in by])
                 level.append(levels(words, hits))
-            columns = [batch.column(1), pa.array(v, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.string())), pa.array(times, pa.list_(pa.int64())), pa.array(level, pa.list_(pa.float64()))]
+            columns = [batch.column(1), pa.array(v, pa.list_(pa.bool_())), pa.array(found, pa.list_(pa.string())), pa.array(times, pa.list_(pa.int64())), pa.array(level, pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["label", "votes", "found", "times", "level"])
 
     return run
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Toxicity:
-    """Voters are mined from labelled training rows, the label model fits their votes, the classifier its posteriors.
+    """Voters are chosen on labelled training rows, the label model fits their votes, the classifier its posteriors.
 
-    Without toxic labels only the fixed lexicon speaks.
+    Patterns are all those that are precise enough and whose count among toxic documents chance can't explain: however
+    many pass, none is left out. Without labels of both classes only the fixed lexicon speaks.
     """
     plain = Toxicity({f"={w}": 0.0 for w in INSULTS}, -3.0, [6.0, 0.0, 0.0])
     ids = sample_ids(labels, "toxic", most)
@@ -195,22 +227,28 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Toxicity:
     count = dict(ids.groupBy("label").count().collect())
     if not count.get(1) or not count.get(0):
         return plain
-    toxic = rows.where("label = 1").mapInArrow(_mine, "feature string, toxic long").groupBy("feature").agg(F.sum("toxic").alias("n")).where(F.col("n") >= SUPPORT)
-    # At most MINED * 10 candidates come to the driver: those that the most toxic documents show.
-    seen = {r["feature"]: r["n"] for r in toxic.orderBy(F.desc("n"), "feature").limit(MINED * 10).collect()}
-    clean = dict(rows.where("label = 0").select("text").mapInArrow(_count_clean(seen), "feature string, clean long").groupBy("feature").agg(F.sum("clean")).collect())
-    # Precision at the classes' shares among the training labels, with one clean document assumed.
+    # The classes' shares among the training labels; one clean document more is assumed.
     toxic_share = training(labels, "toxic").agg(F.avg("label")).first()[0]
-    precise = lambda f: seen[f] / count[1] * toxic_share / (seen[f] / count[1] * toxic_share + (clean.get(f, 0) + 1) / count[0] * (1 - toxic_share))
-    kept = sorted((f for f in seen if precise(f) >= PRECISION), key=lambda f: (-seen[f] * precise(f), f))[:MINED]
-    mined = {f: precise(f) for f in kept} | {f"={w}": 1.0 for w in INSULTS}
-    made = rows.mapInArrow(_represent(mined), "label int, votes array<long>, found array<string>, times array<long>, level array<double>")
+    k, clean = F.col("toxic"), (F.col("clean") + 1) / F.lit(count[0] + 1)
+    chance = count[1] * clean
+    surprise = k * F.log(k / chance) - k + chance
+    share = k / F.lit(count[1]) * toxic_share
+    precise = share / (share + clean * (1 - toxic_share))
+    shown = rows.mapInArrow(_mine, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where("toxic > 0")
+    kept = shown.where((k > chance) & (surprise >= SURPRISE) & (precise >= PRECISION)).select("feature", precise.alias("p")).collect()
+    mined = {r["feature"]: r["p"] for r in kept} | {f"={w}": 1.0 for w in INSULTS}
+    made = rows.mapInArrow(_represent(mined), "label int, votes array<boolean>, found array<string>, times array<long>, level array<double>")
     got = sorted((r["votes"], r["found"], r["times"], r["level"], r["label"]) for r in made.toLocalIterator())
-    v = np.array([g[0] for g in got])
     label = np.array([g[4] for g in got])
-    target = LabelModel().fit(v, label).posterior(v)
     # The sample's classes count as they do among the labels.
     weight = np.where(label == 1, toxic_share / label.mean(), (1 - toxic_share) / (1 - label.mean())) / len(got)
+    voter = {f: i + len(FIXED) for i, f in enumerate(sorted(mined))}
+    v = np.zeros((len(got), len(FIXED) + len(voter)), np.uint8)
+    for row, g in zip(v, got):
+        row[: len(FIXED)] = g[0]
+        row[[voter[f] for f in g[1]]] = 1
+    v = v[:, v.any(0)]
+    target = LabelModel.fit(v, label.astype(float), weight).posterior(v) if v.shape[1] else label.astype(float)
     names = sorted(mined)
     where = {f: i for i, f in enumerate(names)}
     doc = np.concatenate([np.full(len(g[1]), i) for i, g in enumerate(got)]).astype(int)
@@ -231,11 +269,11 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Toxicity:
 
 
 def score(docs: DataFrame, model: Toxicity) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, score. Null and empty texts score as texts without any pattern do."""
+    """docs (doc_id, text) -> doc_id, score. Null and empty texts score as texts without any pattern do; repeated rows alike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = model.scorer()
-        for batch in batches:
+        for batch in (b for whole in batches for b in common.slices(whole, 1)):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([of(t.as_py()) for t in batch.column(1)], pa.float64())], names=["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
