@@ -2,27 +2,25 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 from .quality import held_out
 
-#: Documents that the n-gram tables are fitted on, at most: those whose ids hash lowest.
-SAMPLE = 20_000
+#: Documents of each language that the n-gram tables are fitted on, about, where it has more: those whose ids hash lowest.
+SAMPLE = 8_000
 #: Tables of hashed n-grams of bytes; a unit of the mixture is a run of so many of them.
 BITS, N, UNIT = 16, 4, 64
 STEPS = 10
-#: Languages of a document that the choice starts from.
-MOST = 5
 SMOOTH = 0.5
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -71,19 +69,26 @@ class Languages:
         loglik = np.stack([np.add.reduceat(row[h], first, dtype=np.float64) for row in self.table], 1)
         share, _ = mixture(loglik, units)
         ranks = np.argsort(np.argsort(-share, 1, kind="stable"), 1)
+        # No set can explain a text better than each unit's own best language does.
+        bound = np.add.reduceat(loglik.max(1), np.cumsum(units) - units)
         best, chosen = np.full(len(texts), -np.inf), share
-        for n in range(1, min(MOST, len(self.names)) + 1):
-            part, total = mixture(loglik, units, ranks < n)
-            total = total - (n - 1) * np.log(units + 1) - 2.0 * (n - 1)
-            better = total > best
-            best = np.where(better, total, best)
-            chosen = np.where(better[:, None], part, chosen)
+        for n in range(1, len(self.names) + 1):
+            cost = (n - 1) * (np.log(units + 1) + 2.0)
+            open_ = np.flatnonzero(bound - cost > best)
+            if not len(open_):
+                break
+            rows = np.isin(np.repeat(np.arange(len(units)), units), open_)
+            part, total = mixture(loglik[rows], units[open_], ranks[open_] < n)
+            total = total - cost[open_]
+            better = total > best[open_]
+            best[open_[better]] = total[better]
+            chosen[open_[better]] = part[better]
         return chosen
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: dict[str, np.ndarray] = {}
-    for batch in batches:
+    for batch in (b for whole in batches for b in common.slices(whole, 0)):
         for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             h, _ = grams([text])
             seen.setdefault(lang, np.zeros(1 << BITS, np.int64))[:] += np.bincount(h, minlength=1 << BITS)
@@ -92,10 +97,15 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, most: int = SAMPLE) -> Languages | None:
-    """Tables of log-probabilities for each language of the training rows; None without any."""
+    """Tables of log-probabilities for each language of the training rows; None without any.
+
+    A language's documents are counted first, so that each has its own share of the bounded sample, rare ones all of it.
+    """
     rows = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    ids = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).distinct()
-    parts = rows.join(F.broadcast(ids), "doc_id").select("text", "lang").repartition(8).mapInArrow(_count, "lang string, n binary").toLocalIterator()
+    share = rows.groupBy("lang").agg(F.least(F.lit(1.0), most / F.count("*")).alias("share"))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(1 << 30)
+    rows = rows.join(share, "lang").where(place < F.col("share"))
+    parts = rows.select("text", "lang").repartition(8).mapInArrow(_count, "lang string, n binary").toLocalIterator()
     sums: dict[str, np.ndarray] = {}
     for r in parts:
         sums[r["lang"]] = sums.get(r["lang"], 0) + np.frombuffer(r["n"], "<i8")
@@ -109,13 +119,14 @@ def train(docs: DataFrame, most: int = SAMPLE) -> Languages | None:
 def identify(docs: DataFrame, model: Languages | None) -> DataFrame:
     """docs (doc_id, text) -> doc_id, lang_pred, score, languages (the set with its shares, by share).
 
-    lang_pred has the largest share, and score is that share. Without a text, a letter in it or a model: und, 0.
+    The set may hold any number of the learned languages: sets grow by the languages' order of share for as long as a
+    larger one could still win. lang_pred has the largest share, and score is that share. Without a text, a letter in it
+    or a model: und, 0. Repeated rows are treated alike.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for i in range(0, whole.num_rows, common.TEXT_BATCH):
-                batch = whole.slice(i, common.TEXT_BATCH)
+            for batch in common.slices(whole, 1):
                 texts = batch.column(1).to_pylist()
                 pred, score, sets = ["und"] * len(texts), [0.0] * len(texts), [[] for _ in texts]
                 some = [k for k, t in enumerate(texts) if model is not None and t and _LETTER.search(t)]
