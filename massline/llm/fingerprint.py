@@ -7,6 +7,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,10 +20,9 @@ BUCKETS = 128
 APART = np.array([0, 1, 2, 6], np.int64)
 #: A step of the length code is a factor of so much, and the most steps that count in a difference, at what each costs.
 LENGTH_BASE, LENGTH_MOST, LENGTH_COST = 1.2, 20, 6
-#: Rows of one range of ids, about.
-ROWS_PER_RANGE = 5000
-#: Ranges at most; beyond, they grow, and as they are read in order, a task needs no more memory for that.
-MOST_RANGES = 2000
+#: Rows of one range of ids, about; ranges at most, beyond which they grow (a task reads its range in order, so that its
+#: memory doesn't); sampled rows for each range, that the ranges are cut at.
+ROWS_PER_RANGE, MOST_RANGES, PER_RANGE = 5000, 20_000, 20
 
 _PAIRS = np.array([[APART[abs(i - j)] for j in range(4)] for i in range(4)], np.int64)
 #: Difference of two bytes of four quartiles each.
@@ -62,40 +62,46 @@ def edited(text: str, other: str) -> str:
     return text[: len(text) - half] + other[:half]
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) -> rows (grp, doc_id, text, guest) of which each group in order holds every row's successor.
+_LEAST = -(2**63)
 
-    Ids are cut into ranges at quantiles, so that a range holds some thousand rows; each range's first row is also sent,
-    as a guest, to the range before it, and the first of all to the last range. Where one id repeats so often that
-    quantiles coincide, ranges merge; equal ids follow each other by text.
+
+def with_next(docs: DataFrame) -> tuple[DataFrame, int]:
+    """docs (doc_id, text) -> rows (grp, doc_id, th, text, guest) and the number of groups; a group in order holds every row's successor.
+
+    Rows are cut into ranges of (id, hash of the text) by a bounded sample, so that one id with very many texts falls to
+    many ranges; each range's first row is also sent, as a guest, to the range before it, and the first of all to the
+    last range.
     """
+    docs = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    key = F.coalesce(F.col("doc_id"), F.lit(_LEAST))
     n = docs.count()
     parts = min(MOST_RANGES, max(1, -(-n // ROWS_PER_RANGE)))
-    cuts = sorted(set(docs.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 1 / (4 * parts)))) if parts > 1 else []
-    grp = F.lit(0)
-    if cuts:
-        # Position among the cuts by halving, so that the expression's depth is the logarithm of their number.
-        def place(lo: int, hi: int):
-            if lo == hi:
-                return F.lit(lo)
-            mid = (lo + hi) // 2
-            return F.when(F.col("doc_id") <= F.lit(int(cuts[mid])), place(lo, mid)).otherwise(place(mid + 1, hi))
-
-        grp = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(place(0, len(cuts)))
-    placed = docs.select(grp.cast("int").alias("grp"), "doc_id", "text")
-    firsts = placed.groupBy("grp").agg(F.min(F.struct(F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("id"))).alias("f"))
+    pair = np.dtype([("id", "<i8"), ("th", "<i8")])
+    cuts = np.empty(0, pair)
+    if parts > 1:
+        share = min(1.0, PER_RANGE * parts / n)
+        some = docs.where(F.pmod(F.xxhash64("doc_id", "th"), F.lit(1 << 30)) < int(share * (1 << 30))).select(key.alias("id"), "th").collect()
+        found = np.sort(np.array([tuple(r) for r in some], pair))
+        cuts = np.unique(found[np.linspace(0, len(found) - 1, parts + 1).astype(int)[1:-1]]) if len(found) else cuts
+
+    @F.pandas_udf("int")
+    def place(ids: pd.Series, th: pd.Series) -> pd.Series:
+        rows = np.empty(len(ids), pair)
+        rows["id"], rows["th"] = ids, th
+        return pd.Series(np.searchsorted(cuts, rows).astype(np.int32))
+
+    placed = docs.withColumn("grp", place(key, F.col("th")) if len(cuts) else F.lit(0))
+    firsts = placed.groupBy("grp").agg(F.min(F.struct(key.alias("id"), F.col("th"))).alias("f"))
     # One row per range, in the driver's hands: the ranges are as many as were cut.
-    order = sorted((r["grp"], r["f"]["id"]) for r in firsts.collect())
+    order = sorted((r["grp"], r["f"]["id"], r["f"]["th"]) for r in firsts.collect())
     if not order:
-        return placed.withColumn("guest", F.lit(False))
-    to = {order[i][0]: order[i - 1][0] for i in range(len(order))}
-    spark = docs.sparkSession
-    hosts = spark.createDataFrame([(g, i, to[g]) for g, i in order], "g int, first long, host int")
-    key = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
-    joined = placed.join(F.broadcast(hosts), (F.col("grp") == F.col("g")) & (key == F.col("first")), "left")
-    dealt = F.when(F.col("host").isNotNull(), F.array(F.struct(F.col("grp").alias("grp"), F.lit(False).alias("guest")), F.struct(F.col("host").alias("grp"), F.lit(True).alias("guest"))))
-    dealt = dealt.otherwise(F.array(F.struct(F.col("grp").alias("grp"), F.lit(False).alias("guest"))))
-    return joined.select("doc_id", "text", F.explode(dealt).alias("x")).select("x.grp", "doc_id", "text", "x.guest")
+        return placed.withColumn("guest", F.lit(False)), 1
+    hosts = [(*order[i], order[i - 1][0]) for i in range(len(order))]
+    hosts = docs.sparkSession.createDataFrame(hosts, "g int, first long, first_th long, host int")
+    joined = placed.join(F.broadcast(hosts), (F.col("grp") == F.col("g")) & (key == F.col("first")) & (F.col("th") == F.col("first_th")), "left")
+    own = F.struct(F.col("grp").alias("grp"), F.lit(False).alias("guest"))
+    dealt = F.when(F.col("host").isNotNull(), F.array(own, F.struct(F.col("host").alias("grp"), F.lit(True).alias("guest")))).otherwise(F.array(own))
+    return joined.select("doc_id", "th", "text", F.explode(dealt).alias("x")).select("x.grp", "doc_id", "th", "text", "x.guest"), order[-1][0] + 1
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,7 +124,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return batch
 
     guest_done = None
-    for batch in batches:
+    for batch in (b for whole in batches for b in common.slices(whole, 2)):
         for grp, doc, text, guest in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
             if guest and guest_done == grp:
                 continue
@@ -141,11 +147,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> fingerprints of each text and of its edited text, and their likeness; see OUT.
 
     Null texts count as empty; a lone document follows itself; rows with a null id stand before all others and rows
-    with equal ids follow each other by text. An empty table gives an empty one. Texts move once, to their range.
+    with equal ids follow each other by a hash of their text, then by it. An empty table gives an empty one. Texts move
+    once, to their range.
     """
-    rows = with_next(docs.select(F.col("doc_id").cast("long"), "text"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(parts, "grp").sortWithinPartitions("grp", "guest", F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    rows, parts = with_next(docs.select(F.col("doc_id").cast("long"), "text"))
+    dealt = rows.repartitionById(parts, F.col("grp")).sortWithinPartitions("grp", "guest", F.col("doc_id").asc_nulls_first(), "th", F.col("text").asc_nulls_first())
     return dealt.select("grp", "doc_id", "text", "guest").mapInArrow(_compare, OUT)
 
 
