@@ -58,29 +58,34 @@ def targets(sized: DataFrame, weights: tuple = WEIGHTS, most: int = MOST_EPOCHS)
     return per.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST_EPOCHS, seed: str = SEED) -> DataFrame:
+def mix(docs: DataFrame, scratch: common.Scratch | None = None, weights: tuple = WEIGHTS, most: int = MOST_EPOCHS, seed: str = SEED, carry: bool = True) -> DataFrame:
     """docs (doc_id, text, source, ...) -> the same rows and columns plus size, source_size, target, taken.
 
-    Each source's rows stand in the order of a hash of their id; whole epochs are taken while the target covers them,
-    then a head of the order up to the target, the last document in part. A key's leading bits name its range, so the
-    ranges are known without sampling and a retry deals the same rows; a running sum over the ranges' totals and one
-    within each range give the prefix sums, and no task sees more than one range. Null and empty texts have size 0 and
-    are never taken; a null id hashes as an empty string; rows with equal id and size are interchangeable. Columns of
-    docs that are called like the added ones are replaced. An empty table gives an empty one.
+    Each source's rows stand in the order of a hash of their id and text; whole epochs are taken while the target covers
+    them, then a head of the order up to the target, the last document in part. Sizes and keys are written once, and all
+    counts come from there. A key's leading bits name its range, so the ranges are known without sampling and a retry
+    deals the same rows; a running sum over the ranges' totals and one within each range give the prefix sums, and no
+    task sees more than one range. Rows that share an id are told apart by their texts, those that share both are
+    interchangeable. Null and empty texts have size 0 and are never taken. Columns of docs that are called like the added
+    ones are replaced. Without ``carry`` only doc_id and source are kept, and texts are read once. An empty table gives
+    an empty one.
     """
-    ranges = max(1, -(-docs.count() // ROWS_PER_RANGE))
+    scratch = scratch or common.Scratch(docs.sparkSession, "mix")
     added = ("size", "source_size", "target", "taken")
-    kept = [c for c in docs.columns if c not in added]
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    sized = docs.select(*kept, words(F.col("text")).alias("size"), key.alias("_key"))
-    sized = sized.withColumn("_range", F.floor(F.conv(F.substring("_key", 1, 8), 16, 10).cast("long") * ranges / F.lit(1 << 32)).cast("long"))
-    per_range = sized.groupBy("source", "_range").agg(F.sum("size").alias("_sum"))
+    kept = [c for c in docs.columns if c not in added] if carry else ["doc_id", "source"]
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.md5("text"), F.lit(""))))
+    measured = lambda *names: docs.select(*names, words(F.col("text")).alias("size"), key.alias("_key"))
+    small = scratch.save(measured("doc_id", "source"))
+    ranges = max(1, -(-small.count() // ROWS_PER_RANGE))
+    place = F.floor(F.conv(F.substring("_key", 1, 8), 16, 10).cast("long") * ranges / F.lit(1 << 32)).cast("long")
+    per_range = small.groupBy("source", place.alias("_range")).agg(F.sum("size").alias("_sum"))
     ahead = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = per_range.select("source", "_range", F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_start"))
-    per_source = targets(sized.select("source", "size"), weights, most)
+    per_source = targets(small.select("source", "size"), weights, most)
     starts = starts.join(per_source.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     starts = starts.select(F.col("source").alias("_s"), F.col("_range").alias("_r"), "_start", "source_size", "target")
-    rows = sized.join(starts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_r")))
+    rows = (measured(*kept) if carry else small).withColumn("_range", place)
+    rows = rows.join(starts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_r")))
     within = Window.partitionBy("source", "_range").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("_start") + F.coalesce(F.sum("size").over(within), F.lit(0))
     budget = F.floor(F.round("target", 6)).cast("long")
@@ -91,14 +96,14 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST_EPOCHS, seed
 
 
 def op9_mix(spark, sf_dir: str) -> DataFrame:
-    out = mix(common.table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    out = mix(common.table(spark, sf_dir, "documents").select("doc_id", "text", "source"), carry=False)
     return out.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
 def oracle(weights: tuple = WEIGHTS, most: int = MOST_EPOCHS, seed: str = SEED) -> str:
     return rf"""
 WITH sized AS (
-  SELECT doc_id, source, md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k,
+  SELECT doc_id, source, md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(md5(text), '')) AS k,
          CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
   FROM documents),
 per AS (
