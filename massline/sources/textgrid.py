@@ -1,119 +1,107 @@
-"""Time-aligned annotation files (TextGrid, long and short) as a Python data source, one row per interval or point."""
+"""Time-aligned annotation files (TextGrid, long and short): a row per file, tier and item, each with its extent."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-SCHEMA = "path string, tier_idx int, cls string, tier string, item_idx int, xmin double, xmax double, label string, encoding string, error string"
+#: level is file, tier, item or error; a point is an item whose xmin and xmax are its time.
+SCHEMA = "path string, level string, tier_idx int, cls string, tier string, item_idx int, xmin double, xmax double, label string, encoding string, error string"
 
-_TOKEN = re.compile(r'"((?:[^"]|"")*)"|(<exists>|<absent>)|(?<![\w\[.])(-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)(?![\w\].])')
-# Classes of tiers.
-INTERVALS, POINTS = "IntervalTier", "TextTier"
+# Byte-order marks with the name and codec of each.
+MARKS = {b"\xef\xbb\xbf": ("utf-8-sig", "utf-8-sig"), b"\xfe\xff": ("utf-16-be-bom", "utf-16"), b"\xff\xfe": ("utf-16-le-bom", "utf-16")}
 
+# What a file holds, in order. Long files write names and bracketed numbers between the values, which are skipped.
+FILE = (("kind", "text"), ("object", "text"), ("xmin", "number"), ("xmax", "number"), ("tiers", "flag"))
+TIER = (("cls", "text"), ("tier", "text"), ("xmin", "number"), ("xmax", "number"), ("size", "count"))
+ITEMS = {"IntervalTier": (("xmin", "number"), ("xmax", "number"), ("label", "text")), "TextTier": (("xmin", "number"), ("label", "text"))}
+KINDS, OBJECT = ("ooTextFile", "ooTextFile short"), "TextGrid"
 
-def decode(raw: bytes) -> tuple[str, str]:
-    """Text with plain line ends, and its encoding: by byte-order mark, else ASCII, else strict UTF-8."""
-    for mark, name in ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16")):
-        if raw.startswith(mark):
-            break
-    else:
-        if b"\0" in raw:
-            raise ValueError("zero bytes without a byte-order mark")
-        name = "ascii" if raw.isascii() else "utf-8"
-    return raw.decode(name).replace("\r\n", "\n").replace("\r", "\n"), name
-
-
-def parse(text: str) -> list[tuple]:
-    """(tier_idx, cls, tier, item_idx, xmin, xmax, label) of all items; anything missing, unknown or left over is an error.
-
-    Long files name their values and short ones don't; strings, numbers and flags come in one order in both.
-    """
-    stream = iter([("s", m[1].replace('""', '"')) if m[1] is not None else ("f", m[2]) if m[2] else ("n", float(m[3])) for m in _TOKEN.finditer(text)])
-
-    def take(kind: str):
-        got = next(stream, None)
-        if got is None or got[0] != kind:
-            raise ValueError(f"expected {kind}, found {got}")
-        return got[1]
-
-    kind = take("s")
-    if not kind.startswith("ooTextFile") or (kind == "ooTextFile" and take("s") != "TextGrid"):
-        raise ValueError("not a TextGrid")
-    take("n"), take("n")
-    rows: list[tuple] = []
-    if take("f") == "<exists>":
-        for t in range(int(take("n"))):
-            cls, name = take("s"), take("s")
-            if cls not in (INTERVALS, POINTS):
-                raise ValueError(f"unknown class {cls}")
-            take("n"), take("n")
-            for i in range(int(take("n"))):
-                a = take("n")
-                b = take("n") if cls == INTERVALS else a
-                rows.append((t, cls, name, i, a, b, take("s")))
-    if next(stream, None) is not None:
-        raise ValueError("something follows the last tier")
-    return rows
-
-
-class _File(InputPartition):
-    def __init__(self, rows):
-        self.value = rows
+_VALUE = re.compile(r'\[[\s\d]*\]|"(?P<text>(?:[^"]|"")*)"|(?P<flag><exists>|<absent>)|(?P<number>-?(?:\d+\.?|\.\d)\d*(?:[eE][+-]?\d+)?)')
+_READ = {"text": lambda v: v.replace('""', '"'), "number": float, "flag": str}
 
 
-class TextGridSource(DataSource):
-    """spark.read.format("textgrid").load(path) for folders that every executor mounts; ``read`` opens any store."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "textgrid"
-
-    def schema(self) -> str:
-        return SCHEMA
-
-    def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["path"])
-
+def decode(raw: bytes) -> tuple[str, str]:
+    """Text with plain line ends, and the name of its encoding: by byte-order mark, else ASCII, else strict UTF-8."""
+    name, codec = next((found for mark, found in MARKS.items() if raw.startswith(mark)), (None, None))
+    if name is None:
+        if 0 in raw:
+            raise ValueError("zero bytes without a byte-order mark")
+        name = codec = "ascii" if raw.isascii() else "utf-8"
+    return "\n".join(re.split("\r\n|\r", raw.decode(codec))), name
 
-class _Reader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
 
-    def partitions(self):
-        import glob
-        import os
+class Values:
+    """The values of a file, read record by record as a layout asks for them."""
 
-        found = sorted(glob.glob(f"{self.path}/**/*.TextGrid", recursive=True)) if os.path.isdir(self.path) else sorted(glob.glob(self.path))
-        return [_File(f) for f in found]
+    def __init__(self, text: str):
+        self.found = (m for m in _VALUE.finditer(text) if m.lastgroup)
 
-    def read(self, partition):
-        with open(partition.value, "rb") as f:
-            yield from rows_of(partition.value, f.read())
+    def record(self, layout: tuple) -> dict:
+        out = {}
+        for (name, kind), m in zip(layout, self.found):
+            if m.lastgroup != ("number" if kind == "count" else kind):
+                raise ValueError(f"{name} at {m.start()} should be a {kind}, not {m[0][:40]}")
+            out[name] = _READ[m.lastgroup](m[m.lastgroup])
+        if len(out) < len(layout):
+            raise ValueError(f"the file ends before {layout[len(out)][0]}")
+        return out
 
 
-def rows_of(path: str, raw: bytes):
+def parse(text: str) -> Iterator[dict]:
+    """Rows of the file, its tiers and their items; anything missing, unknown or left over is a ValueError."""
+    values = Values(text)
+    head = values.record(FILE)
+    if head["kind"] not in KINDS or head["object"] != OBJECT:
+        raise ValueError("not a TextGrid")
+    yield {"level": "file", "xmin": head["xmin"], "xmax": head["xmax"]}
+    tiers = int(values.record((("size", "count"),))["size"]) if head["tiers"] == "<exists>" else 0
+    for t in range(tiers):
+        tier = values.record(TIER)
+        layout = ITEMS.get(tier["cls"])
+        if layout is None:
+            raise ValueError(f"unknown class {tier['cls']}")
+        of = {"tier_idx": t, "cls": tier["cls"], "tier": tier["tier"]}
+        yield {"level": "tier", **of, "xmin": tier["xmin"], "xmax": tier["xmax"]}
+        for i in range(int(tier["size"])):
+            item = values.record(layout)
+            yield {"level": "item", **of, "item_idx": i, "xmax": item["xmin"], **item}
+    if tiers or head["tiers"] == "<exists>":
+        left = sum(1 for _ in values.found)
+        if left:
+            raise ValueError(f"{left} values follow the last tier")
+
+
+def rows_of(path: str, raw: bytes) -> list[dict]:
     """Rows of one file; one row with the error alone if it can't be read."""
     try:
         text, encoding = decode(raw)
-        for r in parse(text):
-            yield (path, *r, encoding, None)
+        return [{"path": path, "encoding": encoding, **r} for r in parse(text)]
     except ValueError as e:
-        yield (path, None, None, None, None, None, None, None, None, str(e)[:200])
+        return [{"path": path, "level": "error", "error": str(e)[:200]}]
 
 
-def read(spark: SparkSession, path: str):
+def read(spark: SparkSession, path: str) -> DataFrame:
     """All files under a path that Spark's own readers open, on any store: bytes by binaryFile, parsed where they are."""
+    kinds = {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}
+    schema = pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in SCHEMA.split(", "))])
 
     def run(batches):
-        import pandas as pd
-
-        names = [c.split()[0] for c in SCHEMA.split(", ")]
         for b in batches:
-            rows = [r for p, c in zip(b["path"], b["content"]) for r in rows_of(p, bytes(c))]
-            yield pd.DataFrame(rows, columns=names).astype({"tier_idx": "Int32", "item_idx": "Int32"})
+            for p, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                yield pa.RecordBatch.from_pylist(rows_of(p, c), schema=schema)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.TextGrid").load(path)
-    return files.select("path", "content").mapInPandas(run, SCHEMA)
+    return files.select("path", "content").mapInArrow(run, SCHEMA)
+
+
+def tier(grids: DataFrame, name: str) -> DataFrame:
+    """Items of the one tier of that name in each file; a file with none or several of them is an error when it is read."""
+    n = F.count_if((F.col("level") == "tier") & (F.col("tier") == name)).over(Window.partitionBy("path"))
+    rows = grids.withColumn("_n", n).where("level = 'file' or level = 'item'")
+    rows = rows.withColumn("_n", F.when(F.col("_n") == 1, F.lit(1)).otherwise(F.raise_error(F.concat(F.col("_n"), F.lit(f" tiers named {name} in "), F.col("path")))))
+    return rows.where((F.col("_n") == 1) & (F.col("level") == "item") & (F.col("tier") == name)).drop("_n")

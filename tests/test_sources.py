@@ -27,23 +27,32 @@ LONG = 'File type = "ooTextFile"\nObject class = "TextGrid"\n\nxmin = 0 \nxmax =
 SHORT = '"ooTextFile"\n"TextGrid"\n0\n2.5\n<exists>\n1\n"IntervalTier"\n"words"\n0\n2.5\n1\n0\n2.5\n"a"\n'
 
 
+EMPTY = '"ooTextFile short"\n"TextGrid"\n0\n5.\n<exists>\n2\n"IntervalTier"\n"none"\n.5\n5.\n0\n"TextTier"\n"x [2] 3"\n0\n1e1\n1\n-.25\n"a ""3"" [4]"\n'
+
+
 def test_textgrid(spark, tmp_path):
     (tmp_path / "sub").mkdir()
-    (tmp_path / "long.TextGrid").write_bytes(LONG.encode())
-    (tmp_path / "sub/wide.TextGrid").write_bytes(LONG.encode("utf-16"))
-    (tmp_path / "short.TextGrid").write_bytes(SHORT.replace("\n", "\r\n").encode())
-    (tmp_path / "cut.TextGrid").write_bytes(SHORT[:-5].encode())
-    (tmp_path / "more.TextGrid").write_bytes((SHORT + '"x"').encode())
-    (tmp_path / "odd.TextGrid").write_bytes(b"\xff\x41")
-    spark.dataSource.register(textgrid.TextGridSource)
-    for df in (textgrid.read(spark, str(tmp_path)), spark.read.format("textgrid").load(str(tmp_path))):
-        rows = {}
-        for r in df.collect():
-            rows.setdefault(r.path.rsplit("/", 1)[1], []).append(r)
-        assert [(r.tier, r.xmin, r.xmax, r.label) for r in sorted(rows["long.TextGrid"], key=lambda r: (r.tier_idx, r.item_idx))] == [("words", 0.0, 1.25, 'say "hi"'), ("words", 1.25, 2.5, ""), ("marks", 1.5, 1.5, "é")]
-        assert {r.encoding for r in rows["wide.TextGrid"]} == {"utf-16"} and len(rows["wide.TextGrid"]) == 3
-        assert [(r.encoding, r.label) for r in rows["short.TextGrid"]] == [("ascii", "a")]
-        assert all(rows[f"{k}.TextGrid"][0].error for k in ("cut", "more", "odd"))
+    files = {"long": LONG.encode(), "sub/wide": LONG.encode("utf-16"), "short": SHORT.replace("\n", "\r\n").encode(), "old": EMPTY.encode("utf-8-sig"), "cut": SHORT[:-5].encode(), "more": (SHORT + '"x"').encode()}
+    files |= {"odd": b"\xff\x41", "mark": b"\xef\xbb\xbf\xe9", "bare": SHORT.encode("utf-16-be"), "other": SHORT.replace("ooTextFile", "ooTextFile longer").encode(), "tierless": SHORT.split("<exists>")[0].encode() + b"<absent>\n"}
+    files |= {"class": SHORT.replace("IntervalTier", "PitchTier").encode()}
+    for name, raw in files.items():
+        (tmp_path / f"{name}.TextGrid").write_bytes(raw)
+    df = textgrid.read(spark, str(tmp_path))
+    rows = {}
+    for r in df.collect():
+        rows.setdefault(r.path.rsplit("/", 1)[1].split(".")[0], []).append(r)
+    items = lambda k: [(r.tier, r.xmin, r.xmax, r.label) for r in sorted((r for r in rows[k] if r.level == "item"), key=lambda r: (r.tier_idx, r.item_idx))]
+    assert items("long") == items("wide") == [("words", 0.0, 1.25, 'say "hi"'), ("words", 1.25, 2.5, ""), ("marks", 1.5, 1.5, "é")]
+    assert [(r.level, r.tier, r.xmin, r.xmax) for r in rows["long"] if r.level != "item"] == [("file", None, 0.0, 2.5), ("tier", "words", 0.0, 2.5), ("tier", "marks", 0.0, 2.5)]
+    assert {r.encoding for r in rows["wide"]} == {"utf-16-le-bom"} and {r.encoding for r in rows["short"]} == {"ascii"}
+    # The old short header, an empty tier, numbers without digits before or behind the point, numbers inside labels.
+    assert [(r.level, r.tier, r.xmin, r.xmax, r.label) for r in rows["old"]] == [("file", None, 0.0, 5.0, None), ("tier", "none", 0.5, 5.0, None), ("tier", "x [2] 3", 0.0, 10.0, None), ("item", "x [2] 3", -0.25, -0.25, 'a "3" [4]')]
+    assert [(r.level, r.xmax) for r in rows["tierless"]] == [("file", 2.5)]
+    assert all([r.level for r in rows[k]] == ["error"] and rows[k][0].error for k in ("cut", "more", "odd", "mark", "bare", "other", "class"))
+    one = df.where("path rlike 'long|wide'")
+    assert sorted(r.label for r in textgrid.tier(one, "words").collect()) == ["", "", 'say "hi"', 'say "hi"']
+    with pytest.raises(Exception, match="0 tiers named words"):
+        textgrid.tier(df, "words").collect()
 
 
 def test_answers(spark, tmp_path):
@@ -77,6 +86,6 @@ def test_streams(spark, tmp_path):
 
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("a", 1.23456, 1), ("b", None, 2), ("c", float("nan"), 3)], "k string, x double, n long")
-    assert sinks.markdown(df, "k").splitlines()[2:] == ["| a | 1.2346 | 1 |", "| b |  | 2 |", "| c |  | 3 |"]
+    assert list(sinks.markdown(df, "k"))[2:] == ["| a | 1.2346 | 1 |", "| b |  | 2 |", "| c |  | 3 |"]
     sinks.write_csv(sinks.rounded(df), f"{tmp_path}/csv")
     assert json.dumps([r.k for r in spark.read.option("header", True).csv(f"{tmp_path}/csv").collect()]) == '["a", "b", "c"]'
