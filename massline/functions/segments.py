@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 Any = Column | str
 
 
@@ -22,10 +24,8 @@ def words(text: Any) -> Column:
 
 
 def positions(items: Any, test) -> Column:
-    """1-based positions of the items for which test(item) holds."""
-    items = _c(items)
-    at = F.sequence(F.lit(1), F.size(items))
-    return F.when(F.size(items) > 0, F.filter(at, lambda i: test(F.element_at(items, i)))).otherwise(F.array().cast("array<int>"))
+    """1-based positions of the items for which test(item) holds. The array is read once and no lambda looks back at it."""
+    return F.filter(F.transform(_c(items), lambda x, i: F.when(test(x), i + 1)), lambda i: i.isNotNull())
 
 
 def flags_to_masses(flags: Any) -> Column:
@@ -43,23 +43,49 @@ def differences(starts: Any, n: Any) -> Column:
 
 def boundaries_to_masses(b: Any, n: Any) -> Column:
     b, n = _c(b), _c(n)
-    ok = (n > 0) & F.forall(b, lambda x: (x >= 1) & (x < n))
+    ok = (n > 0) & let(n, lambda m: F.forall(b, lambda x: (x >= 1) & (x < m)))
     return F.when(ok, differences(F.concat(F.array(F.lit(1)), F.transform(b, lambda x: x + 1)), n))
 
 
+#: Items of a block of a running sum, and how often blocks are made of blocks: arrays of STRIDE ** (LEVELS + 1) items, two
+#: million, take a step in proportion to STRIDE for each item.
+STRIDE, LEVELS = 128, 2
+
+
+def running(values: Any, levels: int = LEVELS) -> Column:
+    """Running sums of an array of whole numbers, as longs.
+
+    An aggregate that grows an array copies it at every step. Here blocks are summed first, the running sums of those
+    are found in the same way, and each item adds the items of its own block before it.
+    """
+    none = F.expr("cast(array() as array<bigint>)")
+    add = lambda x, start: F.aggregate(x, start, lambda a, b: a + b)
+    zero = F.lit(0).cast("long")
+
+    def within(block, base):
+        return F.transform(block, lambda x, i: add(F.slice(block, F.lit(1), i + 1), base))
+
+    def whole(v):
+        if not levels:
+            return within(v, zero)
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / STRIDE).cast("int")), lambda i: F.slice(v, i * STRIDE + 1, F.lit(STRIDE)))
+        return let(blocks, lambda each: let(running(F.transform(each, lambda x: add(x, zero)), levels - 1), lambda upto: F.flatten(F.transform(each, lambda x, i: within(x, F.when(i > 0, F.element_at(upto, F.greatest(i, F.lit(1)))).otherwise(zero))))))
+
+    body = lambda v: F.when(F.size(v) > STRIDE, whole(v)).when(F.size(v) > 0, within(v, zero)).otherwise(none)
+    return let(F.transform(_c(values), lambda x: x.cast("long")), body)
+
+
 def masses_to_boundaries(masses: Any) -> Column:
     """Running sums without the last."""
     m = _c(masses)
-    zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
-    step = lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.array_append(acc["out"], acc["at"] + x).alias("out"))
-    return F.aggregate(F.slice(m, 1, F.greatest(F.size(m) - 1, F.lit(0))), zero, step)["out"]
+    return F.transform(running(F.slice(m, 1, F.greatest(F.size(m) - 1, F.lit(0)))), lambda x: x.cast("int"))
 
 
 def starts_to_masses(starts: Any, n: Any) -> Column:
     """1-based start indices of any order -> masses, the first token being one; null when one is outside."""
     s, n = _c(starts), _c(n)
     full = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(1)), s)))
-    return F.when((n > 0) & F.forall(s, lambda x: (x >= 1) & (x <= n)), differences(full, n))
+    return F.when((n > 0) & let(n, lambda m: F.forall(s, lambda x: (x >= 1) & (x <= m))), differences(full, n))
 
 
 def masses_to_starts(masses: Any) -> Column:
@@ -97,8 +123,11 @@ def window_diff(ref: Any, hyp: Any, n: Any, k: Any | None = None) -> Column:
     A boundary b is in the windows that start at b - k to b - 1, so the difference of counts is a step function of the
     start. Its steps, sorted, are swept once: the cost follows the boundaries and not the tokens or the window.
     """
-    r, h, n = _c(ref), _c(hyp), _c(n)
-    k = window_size(r, n) if k is None else _c(k)
+    given = F.struct(_c(ref).alias("r"), _c(hyp).alias("h"), _c(n).alias("n"))
+    return let(given, lambda x: let((window_size(x["r"], x["n"]) if k is None else _c(k)).cast("int"), lambda size: _swept(x["r"], x["h"], x["n"], size)))
+
+
+def _swept(r: Column, h: Column, n: Column, k: Column) -> Column:
     top = n - k
     cut = lambda x: F.least(F.greatest(x, F.lit(0)), top)
     steps = lambda b, d: F.concat(F.transform(b, lambda x: F.struct(cut(x - k).alias("at"), F.lit(d).alias("d"))), F.transform(b, lambda x: F.struct(cut(x).alias("at"), F.lit(-d).alias("d"))))
@@ -133,9 +162,3 @@ def longest_run(b: Any) -> Column:
         return F.struct(x.alias("prev"), begin.alias("from"), F.when(best, x - begin + 1).otherwise(acc["len"]).alias("len"), F.when(best, begin).otherwise(acc["start"]).alias("start"), F.when(best, x).otherwise(acc["end"]).alias("end"))
 
     return F.aggregate(F.array_sort(F.array_distinct(_c(b))), zero, step, lambda a: F.struct(a["len"].alias("len"), a["start"].alias("start"), a["end"].alias("end")))
-
-
-def nearest_offset(b: Any, ref: Any) -> Column:
-    """b minus the nearest reference boundary; at a tie the right one, a negative offset; null without any."""
-    d = F.transform(_c(ref), lambda x: F.struct(F.abs(_c(b) - x).alias("far"), (_c(b) - x).alias("d")))
-    return F.array_min(d)["d"]

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import segments as S
+from ..functions.text import let
 
 
 def digit(*parts: Column) -> Column:
@@ -16,15 +17,16 @@ def digit(*parts: Column) -> Column:
 def segmented(docs: DataFrame) -> DataFrame:
     """documents -> doc_id, lang, w, n, ref: a segment ends at a word that ends in a full stop."""
     base = docs.select("doc_id", "lang", S.words("text").alias("w")).withColumn("n", F.size("w"))
-    return base.withColumn("ref", F.filter(S.positions("w", lambda x: x.endswith(".")), lambda b: b < F.col("n")))
+    return base.withColumn("ref", F.array_remove(S.positions("w", lambda x: x.endswith(".")), F.col("n")))
 
 
-def perturbed(docs: DataFrame, sample: int = 0) -> DataFrame:
+def perturbed(docs: DataFrame, sample: int | Column = 0) -> DataFrame:
     """Adds hyp: each reference boundary kept, moved by one or dropped by a hash digit, and some commas added."""
-    tag = F.lit(sample)
+    tag = sample if isinstance(sample, Column) else F.lit(sample)
     moved = F.transform("ref", lambda b: _shift(digit(F.col("doc_id"), b, tag), b))
     commas = F.filter(S.positions("w", lambda x: x.endswith(",")), lambda b: digit(F.col("doc_id"), F.lit("c"), b, tag) < "4")
-    hyp = F.filter(F.concat(moved, commas), lambda b: b.isNotNull() & (b >= 1) & (b < F.col("n")))
+    # n is bound once: a column inside a lambda is worked out again for each item if the planner merges projections.
+    hyp = let(F.col("n"), lambda n: F.filter(F.concat(moved, commas), lambda b: b.isNotNull() & (b >= 1) & (b < n)))
     return docs.withColumn("hyp", F.array_sort(F.array_distinct(hyp)))
 
 
@@ -56,4 +58,28 @@ def truncated(docs: DataFrame, target: int) -> DataFrame:
     ends = F.concat("ref", F.array("n"))
     first = F.filter(ends, lambda e: e >= target)
     last = F.when(F.size(first) > 0, F.array_min(first)).otherwise(F.col("n"))
-    return docs.select("doc_id", F.size(F.filter(ends, lambda e: e <= last)).cast("long").alias("kept_segments"), last.cast("long").alias("kept_tokens"))
+    kept = let(last, lambda upto: F.filter(ends, lambda e: e <= upto))
+    return docs.select("doc_id", F.size(kept).cast("long").alias("kept_segments"), last.cast("long").alias("kept_tokens"))
+
+
+def offsets(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, ref, hyp) -> key, b, offset: each hypothesis boundary less the nearest reference one; the later one at a tie.
+
+    Both sides are laid out in order, and the last reference boundary is carried along from either end.
+    """
+    side = lambda c, ref: F.transform(c, lambda b: F.struct(b.alias("b"), F.lit(ref).alias("is_ref")))
+    long = docs.select(key, F.explode(F.concat(side("ref", True), side("hyp", False))).alias("x")).select(key, "x.b", F.when(F.col("x.is_ref"), F.col("x.b")).alias("r"))
+    seen = lambda order: F.last("r", ignorenulls=True).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    last = F.col("r").asc_nulls_last()
+    long = long.withColumn("lo", seen([F.col("b"), last])).withColumn("hi", seen([F.col("b").desc(), last])).where("r is null")
+    left, right = F.col("b") - F.col("lo"), F.col("b") - F.col("hi")
+    return long.select(key, "b", F.when(F.col("lo").isNull() | (-right <= left), right).otherwise(left).alias("offset"))
+
+
+def cut_to_segments(docs: DataFrame, target: int) -> DataFrame:
+    """doc_id, w, starts: the words of the first whole segments that reach the target, and where those begin."""
+    ends = F.concat("ref", F.array("n"))
+    first = F.filter(ends, lambda e: e >= target)
+    last = F.when(F.size(first) > 0, F.array_min(first)).otherwise(F.col("n"))
+    inner = let(last, lambda upto: F.filter("ref", lambda b: b < upto))
+    return docs.select("doc_id", F.slice("w", F.lit(1), last).alias("w"), F.concat(F.array(F.lit(1)), F.transform(inner, lambda b: b + 1)).alias("starts"))

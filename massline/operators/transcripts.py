@@ -26,14 +26,14 @@ def tokens(conversations: DataFrame) -> DataFrame:
     by_turn = Window.partitionBy("conv_id").orderBy("turn")
     rows = rows.withColumn("changed", F.coalesce(F.lag("role").over(by_turn) != F.col("role"), F.lit(True)).cast("int"))
     rows = rows.withColumn("turn_id", F.sum("changed").over(by_turn).cast("int"))
-    long = rows.select("conv_id", "turn", "turn_id", "role", "items", F.posexplode("items").alias("i", "word")).where(F.col("word") != LINE)
-    line = F.coalesce(F.when(F.col("i") > 0, F.element_at("items", F.col("i"))) == LINE, F.lit(False))
-    last = F.size(F.filter(F.slice("items", F.col("i") + 2, F.size("items")), lambda x: x != LINE)) == 0
-    long = long.select("conv_id", "turn", "turn_id", "role", "i", "word", line.alias("line"), last.alias("unit_end"))
+    # Each word takes the item before it along, never the turn's whole array.
+    shifted = F.slice(F.concat(F.array(F.lit("")), "items"), F.lit(1), F.size("items"))
+    pairs = F.zip_with("items", shifted, lambda x, y: F.struct(x.alias("word"), (y == LINE).alias("line")))
+    long = rows.select("conv_id", "turn", "turn_id", "role", F.posexplode(pairs).alias("i", "x")).select("conv_id", "turn", "turn_id", "role", "i", "x.word", "x.line").where(F.col("word") != LINE)
     w = Window.partitionBy("conv_id").orderBy("turn", "i")
     whole = Window.partitionBy("conv_id")
     in_turn = Window.partitionBy("conv_id", "turn_id").orderBy("turn", "i")
-    long = long.withColumns({"pos": F.row_number().over(w), "n": F.count("*").over(whole).cast("int"), "turn_pos": F.row_number().over(in_turn), "turn_n": F.count("*").over(Window.partitionBy("conv_id", "turn_id")).cast("int"), "before": F.lag("word").over(w)})
+    long = long.withColumns({"pos": F.row_number().over(w), "n": F.count("*").over(whole).cast("int"), "turn_pos": F.row_number().over(in_turn), "turn_n": F.count("*").over(Window.partitionBy("conv_id", "turn_id")).cast("int"), "before": F.lag("word").over(w), "unit_end": ~F.lead("turn").over(w).eqNullSafe(F.col("turn"))})
     inner = F.col("pos") < F.col("n")
     cue = (F.col("turn_pos") > 1) & (F.col("line") | F.coalesce(F.col("before").endswith(","), F.lit(False)))
     return long.select(
@@ -116,8 +116,3 @@ def structure(units: DataFrame, doc: str = "doc_id", order: str = "unit", keep_c
         doc, order, "speaker", "items", "n_words", F.sum(F.col("changed").cast("int")).over(upto).alias("turn"), (F.sum("n_words").over(upto) - F.col("n_words") + 1).alias("start_i"),
         F.coalesce(F.lead("changed").over(w), F.lit(False)).alias("ends_turn"),
     )
-
-
-def clipped(conv_tokens: DataFrame, lo: int, hi: int) -> DataFrame:
-    """Tokens of a window; a cue stays with the word it precedes, so none from beyond the window comes in."""
-    return conv_tokens.where(F.col("pos").between(lo, hi))

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import documents, events, relations, transcripts  # noqa: F401
+from . import annotations, documents, events, markup, relations, transcripts  # noqa: F401
 from .registry import PLANS, SQL
 
 __all__ = ["PLANS", "SQL"]

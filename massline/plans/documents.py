@@ -184,13 +184,8 @@ def parse_failures(spark, d):
 
 
 def five(spark, d):
-    """Five draws of each document, scored."""
-    base = docs(spark, d)
-    out = None
-    for s in range(5):
-        x = D.scores(D.perturbed(base, s)).withColumn("sample", F.lit(s))
-        out = x if out is None else out.unionByName(x)
-    return out
+    """Five draws of each document, scored: one scan and one split into words, then a row per draw."""
+    return D.scores(D.perturbed(docs(spark, d).withColumn("sample", F.explode(F.array(*[F.lit(i) for i in range(5)]))), F.col("sample")))
 
 
 @query(f"WITH {BASE}, {FIVE}, {PRF} SELECT doc_id, count(*) AS n_samples, round(avg(p), 6) AS precision_mean, round(min(p), 6) AS precision_min, round(max(p), 6) AS precision_max, round(avg(f1), 6) AS f1_mean, round(min(f1), 6) AS f1_min, round(max(f1), 6) AS f1_max FROM f GROUP BY doc_id")
@@ -222,7 +217,7 @@ def max_run_span(spark, d):
 off AS (SELECT CASE WHEN abs(b - rb) > 3 THEN 'beyond' ELSE CAST(b - rb AS VARCHAR) END AS bucket, count(*) AS n FROM near GROUP BY 1)
 SELECT x.bucket AS offset_bucket, coalesce(n, 0) AS n FROM (SELECT unnest(['-3', '-2', '-1', '0', '1', '2', '3', 'beyond']) AS bucket) x LEFT JOIN off USING (bucket)""")
 def nearest_offset_hist(spark, d):
-    b = pert(spark, d).where(F.size("ref") > 0).select("ref", F.explode("hyp").alias("b")).select(S.nearest_offset("b", "ref").alias("o"))
+    b = D.offsets(pert(spark, d).where(F.size("ref") > 0)).select(F.col("offset").alias("o"))
     n = b.groupBy(F.when(F.abs("o") > 3, "beyond").otherwise(F.col("o").cast("string")).alias("offset_bucket")).agg(F.count("*").alias("n"))
     all_ = spark.createDataFrame([(x,) for x in ("-3", "-2", "-1", "0", "1", "2", "3", "beyond")], "offset_bucket string")
     return all_.join(F.broadcast(n), "offset_bucket", "left").select("offset_bucket", F.coalesce("n", F.lit(0)).alias("n"))
@@ -232,8 +227,8 @@ def nearest_offset_hist(spark, d):
   FROM (SELECT *, lag(word) OVER (PARTITION BY doc_id ORDER BY pos) AS prev FROM tok))
 SELECT category, count(*) AS n_words, count(*) FILTER (cap) AS n_capitalised, round(count(*) FILTER (cap) / count(*), 6) AS share_capitalised FROM c GROUP BY category""")
 def capitalisation_categories(spark, d):
-    t = docs(spark, d).select(F.posexplode("w").alias("i", "word"), F.col("w").alias("all"))
-    t = t.select("word", F.when(F.col("i") > 0, F.element_at("all", F.greatest("i", F.lit(1)))).alias("prev"))
+    shifted = F.slice(F.concat(F.array(F.lit(None).cast("string")), "w"), F.lit(1), F.size("w"))
+    t = docs(spark, d).select(F.explode(F.arrays_zip(F.col("w").alias("word"), shifted.alias("prev"))).alias("x")).select("x.word", "x.prev")
     cat = F.when(F.col("prev").isNull(), "first").when(F.col("prev").endswith("."), "after_stop").when(F.col("prev").endswith(","), "after_comma").otherwise("inside")
     g = t.groupBy(cat.alias("category")).agg(F.count("*").alias("n_words"), F.count_if(F.col("word").rlike(r"^\p{Lu}")).alias("n_capitalised"))
     return g.withColumn("share_capitalised", F.round(F.col("n_capitalised") / F.col("n_words"), 6))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import align as A
+from ..operators import quantiles as Q
 from .registry import query, read
 
 MS = "CAST(epoch_us(ts) AS DOUBLE) / 1000"
@@ -45,8 +46,12 @@ def offset_bins(spark, d):
 
 @query(f"""WITH {LOC} SELECT place, count(*) AS n, round(quantile_cont(ms, 0.25), 3) AS q1, round(quantile_cont(ms, 0.5), 3) AS median, round(quantile_cont(ms, 0.75), 3) AS q3, count(*) FILTER (ms < 0) AS earlier, count(*) FILTER (ms > 0) AS later FROM loc GROUP BY place""")
 def alignment_summary(spark, d):
-    g = _located(spark, d).groupBy("place").agg(F.count("*").alias("n"), F.percentile("ms", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.count_if(F.col("ms") < 0).alias("earlier"), F.count_if(F.col("ms") > 0).alias("later"))
-    return g.select("place", "n", *[F.round(F.col("q")[i], 3).alias(k) for i, k in enumerate(("q1", "median", "q3"))], "earlier", "later")
+    # Equal values are counted first, so that what a place's ranks are found on is a value and its count, not a row; and the
+    # ranks come from running sums over ranges of values, which any number of tasks share.
+    x = _located(spark, d)
+    at = Q.quantiles(x.where("ms is not null"), "place", "ms", {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    g = x.groupBy("place").agg(F.count("*").alias("n"), F.count_if(F.col("ms") < 0).alias("earlier"), F.count_if(F.col("ms") > 0).alias("later"))
+    return g.join(at, "place", "left").select("place", "n", *[F.round(k, 3).alias(k) for k in ("q1", "median", "q3")], "earlier", "later")
 
 
 TOL = 60_000
@@ -76,12 +81,9 @@ def label_counts_safe(spark, d):
 SELECT user_id, event_type, coalesce(n, 0) AS n, n IS NOT NULL AS present FROM u CROSS JOIN k LEFT JOIN c USING (user_id, event_type)""")
 def coverage_densified(spark, d):
     c = read(spark, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
-    # The codes are a handful of values: they ride along as an array, and each user's counts are looked up in a map.
-    kinds = c.select("event_type").distinct().agg(F.array_sort(F.collect_list("event_type")).alias("kinds"))
-    per = c.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "n"))).alias("m")).crossJoin(F.broadcast(kinds))
-    x = per.select("user_id", "m", F.explode("kinds").alias("event_type"))
-    n = F.try_element_at("m", F.col("event_type"))
-    return x.select("user_id", "event_type", F.coalesce(n, F.lit(0)).alias("n"), n.isNotNull().alias("present"))
+    # Every user meets every code, which is the result itself; neither side is broadcast by hint, as both may grow.
+    full = c.select("user_id").distinct().crossJoin(c.select("event_type").distinct())
+    return full.join(c, ["user_id", "event_type"], "left").select("user_id", "event_type", F.coalesce("n", F.lit(0)).alias("n"), F.col("n").isNotNull().alias("present"))
 
 
 @query("SELECT event_type, date_trunc('day', ts)::DATE::VARCHAR AS day, count(*) AS n, count(DISTINCT user_id) AS users, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")

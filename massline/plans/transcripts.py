@@ -119,8 +119,8 @@ def score_regions_small(spark, d):
 @query(f"WITH {BASE}, {REG.format(c=R.CORE)} SELECT conv_id, win, count(b) AS n_boundaries FROM reg LEFT JOIN (SELECT conv_id, b, b // {R.CORE} AS win FROM r) USING (conv_id, win) GROUP BY ALL")
 def region_ownership(spark, d):
     c = conv(spark, d)
-    n = F.size(F.filter("ref", lambda b: R.owner(b) == F.col("win"))).cast("long")
-    return R.regions(c).select("conv_id", "win").join(c.select("conv_id", "ref"), "conv_id").select("conv_id", *lng("win"), n.alias("n_boundaries"))
+    n = c.select("conv_id", F.explode("ref").alias("b")).groupBy("conv_id", R.owner(F.col("b")).alias("win")).agg(F.count("*").alias("k"))
+    return R.regions(c).select("conv_id", "win").join(n, ["conv_id", "win"], "left").select("conv_id", *lng("win"), F.coalesce("k", F.lit(0)).alias("n_boundaries"))
 
 
 LOCAL = f"""loc AS (SELECT coalesce(a.conv_id, b.conv_id) AS conv_id, coalesce(a.b, b.b) AS b, a.b AS rb, b.b AS hb FROM (SELECT * FROM r EXCEPT SELECT * FROM t) a FULL JOIN (SELECT * FROM h EXCEPT SELECT * FROM t) b USING (conv_id, b)),
@@ -130,8 +130,10 @@ inn AS (SELECT *, b // {R.CORE} AS win FROM loc WHERE b % {R.CORE} <> 0)"""
 def _local(spark, d):
     """Boundaries of either side inside turns and inside windows: conv_id, b, win, in_ref, in_hyp."""
     w = R.scoped(conv(spark, d)).where("scope = 'within_turn'")
-    b = w.select("conv_id", "ref", "hyp", F.explode(F.array_union("ref", "hyp")).alias("b")).where(F.col("b") % R.CORE != 0)
-    return b.select("conv_id", "b", R.owner(F.col("b")).alias("win"), F.array_contains("ref", F.col("b")).alias("in_ref"), F.array_contains("hyp", F.col("b")).alias("in_hyp"))
+    of = lambda bs, r, h: F.transform(bs, lambda b: F.struct(b.alias("b"), F.lit(r).alias("in_ref"), F.lit(h).alias("in_hyp")))
+    each = F.concat(of(F.array_intersect("ref", "hyp"), True, True), of(F.array_except("ref", "hyp"), True, False), of(F.array_except("hyp", "ref"), False, True))
+    b = w.select("conv_id", F.explode(each).alias("x")).select("conv_id", "x.*").where(F.col("b") % R.CORE != 0)
+    return b.select("conv_id", "b", R.owner(F.col("b")).alias("win"), "in_ref", "in_hyp")
 
 
 def _counts(g):
@@ -251,8 +253,11 @@ deg AS (SELECT conv_id, win, len, (SELECT count(*) FROM (SELECT * FROM r EXCEPT
 
 def _degenerate(spark, d):
     w = _legit(spark, d)
-    x = _window_runs(w, "hyp").join(w.select("conv_id", "ref", "file_max", "n"), "conv_id")
-    x = x.withColumn("ref_in_span", F.size(F.filter("ref", lambda b: (b >= F.col("start")) & (b <= F.col("end")))))
+    x = _window_runs(w, "hyp").join(w.select("conv_id", "file_max", "n"), "conv_id")
+    # A run lies in one window, and so do the reference boundaries that it can hold.
+    refs = w.select("conv_id", F.explode("ref").alias("b")).groupBy("conv_id", R.owner(F.col("b")).alias("win")).agg(F.collect_list("b").alias("refs"))
+    x = x.join(refs, ["conv_id", "win"], "left")
+    x = x.withColumn("ref_in_span", F.when(F.col("refs").isNull(), 0).otherwise(F.size(F.filter("refs", lambda b: (b >= F.col("start")) & (b <= F.col("end"))))))
     return x.withColumns({"old_flagged": F.col("len") > 22, "review": F.col("len") > 11, "new_degenerate": (F.col("len") > F.col("file_max")) & (F.col("len") > 3 * F.col("ref_in_span"))})
 
 

@@ -1,10 +1,12 @@
 """Segment functions against hand-derived values and plain definitions."""
 
 import random
+from itertools import accumulate
 
 import pytest
 from massline.functions import segments as S
 from massline.functions import text as T
+from massline.operators import documents as D
 from pyspark.sql import functions as F
 
 REF = [3, 4, 3, 5, 2, 6, 1, 4, 3, 5]
@@ -87,9 +89,23 @@ def test_random_pairs(spark):
 def test_runs_and_offsets(spark):
     assert tuple(one(spark, S.longest_run("b"), b=[3, 4, 5, 10, 11, 12])) == (3, 3, 5)
     assert tuple(one(spark, S.longest_run("b"), b=[])) == (0, None, None)
-    assert one(spark, S.nearest_offset(F.lit(5), "r"), r=[3, 7]) == -2
-    assert one(spark, S.nearest_offset(F.lit(5), "r"), r=[4, 9]) == 1
-    assert one(spark, S.nearest_offset(F.lit(5), "r"), r=[]) is None
+
+
+def test_offsets(spark):
+    rng = random.Random(5)
+    data = [(i, sorted(rng.sample(range(1, 60), rng.randint(1, 12))), sorted(rng.sample(range(1, 60), rng.randint(0, 12)))) for i in range(40)] + [(99, [], [4, 7])]
+    got = D.offsets(spark.createDataFrame(data, "doc_id int, ref array<int>, hyp array<int>")).collect()
+    want = {(i, b): min((abs(b - r), b - r) for r in ref)[1] if ref else None for i, ref, hyp in data for b in hyp}
+    assert {(r.doc_id, r.b): r.offset for r in got} == want and want[99, 4] is None
+
+
+def test_running_sums(spark):
+    rng = random.Random(7)
+    data = [([rng.randrange(9) for _ in range(n)],) for n in (0, 1, 31, 32, 33, 1024, 1025, 40_000)]
+    for v, got in spark.createDataFrame(data, "v array<int>").select("v", S.running("v")).collect():
+        assert got == list(accumulate(v))
+    m = [rng.randint(1, 5) for _ in range(3000)]
+    assert one(spark, S.masses_to_boundaries("m"), m=m) == list(accumulate(m))[:-1]
 
 
 @pytest.mark.parametrize("raw,starts,reason", [("[1, 2]", [1, 2], None), ("so [3,\n4] then", [3, 4], None), ("[]", [], None), ("none", None, "no array"), ('["7", 8]', [7, 8], None), ("[1.5]", None, "not an integer"), ("[true]", None, "not an integer"), ('["x"]', None, "not an integer"), ("[1, 2", None, "no array"), ("[1, [2]", None, "malformed")])
