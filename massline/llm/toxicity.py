@@ -18,7 +18,7 @@ from .quality import held_out, sample_ids, training
 #: Labelled documents of each class that voters, label model and classifier are fitted on, at most.
 SAMPLE = 6000
 #: Least precision of a mined pattern, and how unlikely its count among toxic documents must be by chance (as -log).
-PRECISION, SURPRISE = 0.6, math.log(1e9)
+PRECISION, SURPRISE = 0.8, math.log(1e9)
 #: Prefix lengths that patterns are mined from, besides whole words.
 PREFIXES = (4, 5, 6, 7, 8)
 REMEMBERED = 300_000
@@ -86,8 +86,10 @@ class LabelModel:
     Its parameters are the share of toxic documents, each voter's chance of voting in either class (its accuracy), and,
     where voters agree more within a class than independence allows, the chance given another voter's vote (their
     correlation): links form the tree of the largest conditional mutual information, so that a family of patterns that
-    always come together counts about once. Labels choose the voters and set the chances that EM starts from; they are
-    no part of a posterior.
+    always come together counts about once. A voter that doesn't vote abstains, which is taken to tell nothing: lexicons
+    of different languages never vote together, and their silence is no sign of a clean text. That is said by a voter of
+    its own, for texts in which all others abstain. Labels choose the voters and calibrate their chances, as the start
+    of EM and as half of what each round counts; a text's own label is no part of its posterior.
     """
 
     def __init__(self, prior: float, parent: np.ndarray, chance: np.ndarray):
@@ -140,15 +142,17 @@ class LabelModel:
 
     @classmethod
     def fit(cls, v: np.ndarray, calibrated: np.ndarray, weight: np.ndarray) -> LabelModel:
-        """v: rows x voters of 0 and 1; calibrated: what labels say of the rows, to start from; weight of each row."""
+        """v: rows x voters of 0 and 1, the last one speaking where all others abstain, and linked with none; calibrated: what labels say of the rows, to start from; weight of each row."""
         v = v.astype(float)
         alone = np.full(v.shape[1], -1)
         model = cls.maximised(v, calibrated, weight, alone)
+        twice, half = np.vstack([v, v]), np.concatenate([weight, weight]) / 2
         for i in range(ROUNDS):
             p = model.posterior(v)
             if i in (0, 3):
-                alone = cls.linked(v, p, weight)
-            model = cls.maximised(v, p, weight, alone)
+                alone = np.append(cls.linked(v[:, :-1], p, weight), -1)
+            # What labels say of the voters counts as much as what they say of each other, or EM would drift away.
+            model = cls.maximised(twice, np.concatenate([p, calibrated]), half, alone)
         return model
 
     def posterior(self, v: np.ndarray) -> np.ndarray:
@@ -156,7 +160,7 @@ class LabelModel:
         z = np.full(len(v), math.log(self.prior / (1 - self.prior)))
         votes = v.astype(int)
         for j, a in enumerate(self.parent):
-            z += odds[j][votes[:, a] if a >= 0 else 0, votes[:, j]]
+            z += votes[:, j] * odds[j][votes[:, a] if a >= 0 else 0, 1]
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -243,12 +247,13 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Toxicity:
     # The sample's classes count as they do among the labels.
     weight = np.where(label == 1, toxic_share / label.mean(), (1 - toxic_share) / (1 - label.mean())) / len(got)
     voter = {f: i + len(FIXED) for i, f in enumerate(sorted(mined))}
-    v = np.zeros((len(got), len(FIXED) + len(voter)), np.uint8)
+    v = np.zeros((len(got), len(FIXED) + len(voter) + 1), np.uint8)
     for row, g in zip(v, got):
         row[: len(FIXED)] = g[0]
         row[[voter[f] for f in g[1]]] = 1
-    v = v[:, v.any(0)]
-    target = LabelModel.fit(v, label.astype(float), weight).posterior(v) if v.shape[1] else label.astype(float)
+        row[-1] = not row.any()
+    v = v[:, np.append(v[:, :-1].any(0), True)]
+    target = LabelModel.fit(v, label.astype(float), weight).posterior(v) if v.shape[1] > 1 else label.astype(float)
     names = sorted(mined)
     where = {f: i for i, f in enumerate(names)}
     doc = np.concatenate([np.full(len(g[1]), i) for i, g in enumerate(got)]).astype(int)
