@@ -15,23 +15,23 @@ def quantiles(rows: DataFrame, by: str, value: str, shares: dict[str, float], ra
     Values are cut into ranges by approximate quantiles of a group, counts of the ranges give each range its first rank,
     and only the ranges that hold a wanted rank are ranked, each by itself. No task holds a group.
     """
-    x = rows.select(by, F.col(value).cast("double").alias("x")).where("x is not null")
-    equal = x.groupBy(by, "x").agg(F.count("*").alias("c"))
-    cuts = x.groupBy(by).agg(F.percentile_approx("x", F.array(*[F.lit((i + 1) / ranges) for i in range(ranges - 1)]), 10 * ranges).alias("cuts"), F.count("*").alias("n"))
+    x = rows.select(by, F.col(value).cast("double").alias("_x")).where("_x is not null")
+    equal = x.groupBy(by, "_x").agg(F.count("*").alias("_c"))
+    cuts = x.groupBy(by).agg(F.percentile_approx("_x", F.array(*[F.lit((i + 1) / ranges) for i in range(ranges - 1)]), 10 * ranges).alias("_cuts"), F.count("*").alias("_n"))
     # Cuts ascend, so that those below a value are as many as its range's number.
-    placed = equal.join(cuts, by).withColumn("part", F.size(F.filter("cuts", lambda c: c < F.col("x"))))
-    per = placed.groupBy(by, "n", "part").agg(F.sum("c").alias("k"))
-    per = per.withColumn("first", F.coalesce(F.sum("k").over(Window.partitionBy(by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    want = F.array(*[F.struct(F.lit(name).alias("name"), (1 + (F.col("n") - 1) * share).alias("at")) for name, share in shares.items()])
-    asked = per.select(by, "part", "first", "k", F.explode(want).alias("w")).select(by, "part", "first", "w.name", "w.at", "k")
+    placed = equal.join(cuts, by).withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col("_x"))))
+    per = placed.groupBy(by, "_n", "_part").agg(F.sum("_c").alias("_k"))
+    per = per.withColumn("_first", F.coalesce(F.sum("_k").over(Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    want = F.array(*[F.struct(F.lit(name).alias("_name"), (1 + (F.col("_n") - 1) * share).alias("_at")) for name, share in shares.items()])
+    asked = per.select(by, "_part", "_first", "_k", F.explode(want).alias("_w")).select(by, "_part", "_first", "_w._name", "_w._at", "_k")
     # A rank between two values needs both, which may lie in different ranges.
-    asked = asked.where((F.ceil("at") > F.col("first")) & (F.floor("at") <= F.col("first") + F.col("k")))
-    inside = placed.join(per.select(by, "part", "first"), [by, "part"]).join(asked.select(by, "part").distinct(), [by, "part"], "left_semi")
-    upto = F.col("first") + F.sum("c").over(Window.partitionBy(by, "part").orderBy("x"))
-    ranked = inside.select(by, "part", "x", upto.alias("hi"), (upto - F.col("c") + 1).alias("lo"))
-    hit = ranked.join(asked.select(by, "part", "name", "at"), [by, "part"]).where((F.col("lo") <= F.ceil("at")) & (F.col("hi") >= F.floor("at")))
-    low = F.max(F.when((F.col("lo") <= F.floor("at")) & (F.col("hi") >= F.floor("at")), F.col("x")))
-    high = F.max(F.when((F.col("lo") <= F.ceil("at")) & (F.col("hi") >= F.ceil("at")), F.col("x")))
-    out = hit.groupBy(by, "name", "at").agg(low.alias("a"), high.alias("b"))
-    value_at = F.col("a") + (F.col("b") - F.col("a")) * (F.col("at") - F.floor("at"))
-    return out.groupBy(by).agg(*[F.max(F.when(F.col("name") == name, value_at)).alias(name) for name in shares])
+    asked = asked.where((F.ceil("_at") > F.col("_first")) & (F.floor("_at") <= F.col("_first") + F.col("_k")))
+    inside = placed.join(per.select(by, "_part", "_first"), [by, "_part"]).join(asked.select(by, "_part").distinct(), [by, "_part"], "left_semi")
+    upto = F.col("_first") + F.sum("_c").over(Window.partitionBy(by, "_part").orderBy("_x"))
+    ranked = inside.select(by, "_part", "_x", upto.alias("_hi"), (upto - F.col("_c") + 1).alias("_lo"))
+    hit = ranked.join(asked.select(by, "_part", "_name", "_at"), [by, "_part"]).where((F.col("_lo") <= F.ceil("_at")) & (F.col("_hi") >= F.floor("_at")))
+    low = F.max(F.when((F.col("_lo") <= F.floor("_at")) & (F.col("_hi") >= F.floor("_at")), F.col("_x")))
+    high = F.max(F.when((F.col("_lo") <= F.ceil("_at")) & (F.col("_hi") >= F.ceil("_at")), F.col("_x")))
+    out = hit.groupBy(by, "_name", "_at").agg(low.alias("_a"), high.alias("_b"))
+    value_at = F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_at") - F.floor("_at"))
+    return out.groupBy(by).agg(*[F.max(F.when(F.col("_name") == name, value_at)).alias(name) for name in shares])

@@ -8,8 +8,10 @@ the left, building words.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -164,8 +166,8 @@ def chains(text: str) -> list[list[Mark]]:
     return out
 
 
-def tokenise(text: str) -> list[dict]:
-    """Items of a unit in order: words with their normal and raw forms, cues, boundaries."""
+def tokenise(text: str, seen: Callable[[str, str], object] | None = None) -> list[dict]:
+    """Items of a unit in order: words with their normal and raw forms, cues, boundaries. seen is told each cue's place."""
     b = _Builder()
     for chain in chains(text):
         before: Mark | None = None
@@ -174,6 +176,8 @@ def tokenise(text: str) -> list[dict]:
             if mark.kind == "frag":
                 b.grow(mark.raw)
             elif mark.kind == "cue":
+                if seen:
+                    seen(mark.name, "word_internal" if open_ and mark.meets_joint else "word_final" if before else "standalone")
                 if open_ and mark.meets_joint:
                     b.raw.append(mark.raw)
                 else:
@@ -233,9 +237,45 @@ def attempt(text: str | None) -> dict:
         return {"items": None, "error": str(e)}
 
 
+def _attempts(texts: pa.Array) -> pa.Array:
+    """A batch at a time; a text that repeats in it is tokenised once."""
+    found: dict = {}
+    kinds = {"string": pa.string(), "int": pa.int32()}
+    item = pa.struct([(name, kinds[kind]) for name, kind in (x.split(":") for x in ITEM.removeprefix("struct<").removesuffix(">").split(","))])
+    rows = texts.to_pylist()
+    for t in rows:
+        if t not in found:
+            found[t] = attempt(t)
+    return pa.array([found[t] for t in rows], pa.struct([("items", pa.list_(item)), ("error", pa.string())]))
+
+
 def items(text: Column) -> Column:
     """struct<items, error> of each text, through one Arrow-batched function."""
-    return F.udf(attempt, f"struct<items:array<{ITEM}>,error:string>", useArrow=True)(text)
+    return F.arrow_udf(_attempts, f"struct<items:array<{ITEM}>,error:string>")(text)
+
+
+# Plain marks of cues by the name of their rule.
+PLAIN_MARKS = {"lengthening": "=", "glottal": "%", "booster_bang": "!"}
+
+
+def mark_places(text: str | None) -> list[tuple[str, str]]:
+    """(mark, place) of each plain mark: inside a word, at the end of what it is glued to, or standing alone."""
+    out: list[tuple[str, str]] = []
+    try:
+        tokenise(text or "", lambda name, place: out.append((PLAIN_MARKS[name], place)) if name in PLAIN_MARKS else None)
+    except TokeniseError:
+        return []
+    return out
+
+
+def _places(texts: pa.Array) -> pa.Array:
+    rows = [[{"mark": m, "place": p} for m, p in mark_places(t)] for t in texts.to_pylist()]
+    return pa.array(rows, pa.list_(pa.struct([("mark", pa.string()), ("place", pa.string())])))
+
+
+def places(text: Column) -> Column:
+    """array<struct<mark, place>> of each text's plain marks; none for a text that can't be tokenised."""
+    return F.arrow_udf(_places, "array<struct<mark:string,place:string>>")(text)
 
 
 def words_only(items_: Column) -> Column:

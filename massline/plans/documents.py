@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import segments as S
 from ..functions import text as T
 from ..operators import documents as D
+from ..operators import tokeniser as K
 from .registry import query, read
 
 # The same tables, built as long relations with window functions rather than arrays.
@@ -314,6 +315,21 @@ def independent_recount(spark, d):
     return t.groupBy("diff").agg(F.count("*").alias("n_docs"))
 
 
+@query()
+def tokeniser_invariants(spark, d):
+    """The tokeniser's words against the raw chunks: letters of a word that no one chunk holds, and of a chunk that no word holds."""
+    lines = read(spark, d, "conversations").select("conv_id", F.explode(F.split("text", "\n")).alias("line"))
+    x = lines.select("line", K.items(F.col("line")).alias("x")).where("x.error is null")
+    bare = lambda c: F.filter(F.transform(c, lambda w: F.regexp_replace(w, r"[^\p{L}]+", "")), lambda w: w != "")
+    words = bare(F.transform(K.words_only(F.col("x.items")), lambda i: i["text"]))
+    x = x.select(words.alias("words"), bare(S.words("line")).alias("chunks"), F.filter(F.transform(S.words("line"), lambda c: F.regexp_replace(c, r"[^\p{Ll}]+", "")), lambda c: c != "").alias("lower"))
+    # Most words are a chunk: only the others are looked for inside of one.
+    fused = F.filter(F.array_except("words", "chunks"), lambda w: ~F.exists("chunks", lambda c: c.contains(w)))
+    lost = F.filter(F.array_except("lower", "words"), lambda c: ~F.exists("words", lambda w: w.contains(c)))
+    n = x.agg(F.sum(F.size(fused)).alias("no_fusion"), F.sum(F.size(lost)).alias("no_lost_words"), F.count("*").alias("units"))
+    return n
+
+
 @query(rf"""WITH {BASE}, l AS (SELECT doc_id, unnest(list_filter(string_split_regex(regexp_replace(text, '[^\p{{L}}''\-\s]', ' ', 'g'), '\s+'), lambda x: x <> '')) AS r FROM documents),
 x AS (SELECT DISTINCT doc_id, r FROM l), y AS (SELECT DISTINCT doc_id, unnest(list_filter(string_split_regex(regexp_replace(word, '[^\p{{L}}''\-\s]', ' ', 'g'), '\s+'), lambda x: x <> '')) AS r FROM tok)
 SELECT 'no_fusion' AS invariant, (SELECT count(*) FROM (SELECT * FROM x EXCEPT SELECT * FROM y)) AS violations UNION ALL SELECT 'no_lost_words', (SELECT count(*) FROM (SELECT * FROM y EXCEPT SELECT * FROM x))""")
@@ -325,7 +341,11 @@ def invariants(spark, d):
     return n.unpivot([], ["no_fusion", "no_lost_words"], "invariant", "violations")
 
 
-@query()
+# Letters in lower case are doubled, so that one can bound the run before it and the one after it; what they bound goes.
+CAPS = r"list_transform(regexp_extract_all(regexp_replace(text, '([a-z])', '\\1\\1', 'g'), '[a-z]?[A-Z]+[a-z]?'), lambda m: regexp_replace(regexp_replace(regexp_replace(m, '^[a-z][A-Z]', ''), '[A-Z][a-z]$', ''), '[a-z]', '', 'g'))".replace("\\\\", "\\")
+
+
+@query(f"SELECT value, count(*) AS n FROM (SELECT unnest({CAPS}) AS value FROM documents) WHERE value <> '' GROUP BY 1")
 def allcaps_tally(spark, d):
     t = read(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("(?<![a-z])[A-Z]+(?![a-z])"), F.lit(0))).alias("value"))
     return t.groupBy("value").agg(F.count("*").alias("n"))

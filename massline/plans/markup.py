@@ -9,6 +9,8 @@ from ..functions import prompts as P
 from ..functions import segments as S
 from ..functions import text as T
 from ..operators import documents as D
+from ..operators import markers as M
+from ..operators import tokeniser as K
 from ..operators import transcripts as R
 from . import documents as DQ
 from . import transcripts as TQ
@@ -306,3 +308,19 @@ def crosscheck_categories(spark, d):
     for name, pattern in CROSS:
         cat = F.when(F.col("text").rlike(pattern), name) if cat is None else cat.when(F.col("text").rlike(pattern), name)
     return x.groupBy(cat.otherwise("other").alias("category")).agg(F.count("*").alias("texts"), F.sum("diff").alias("diff"))
+
+
+@query()
+def word_internal_marks(spark, d):
+    """Plain marks by place: inside a word, at its end, alone. Commas, which the driver's texts have, turn into lengthenings."""
+    text = F.regexp_replace("line", ",", "=")
+    x = _units(spark, d).select(F.explode(K.places(text)).alias("x"))
+    g = x.groupBy("x.mark").agg(*[F.count_if(F.col("x.place") == p).alias(p) for p in ("word_internal", "word_final", "standalone")])
+    return g.withColumn("vanish_share", F.round(F.col("word_internal") / (F.col("word_internal") + F.col("word_final") + F.col("standalone")), 6))
+
+
+@query()
+def marker_scan(spark, d):
+    """Marks of all lines by class, tier and place among the words."""
+    x = _units(spark, d).select("conv_id", F.explode(M.marks(F.col("line"))).alias("x"))
+    return x.groupBy("x.cls", "x.tier").agg(F.count("*").alias("n"), F.countDistinct("conv_id").alias("files"), *[F.count_if(F.col("x.place") == p).alias(p) for p in ("before_first_word", "between_words", "after_last_word", "iu_has_no_words")])

@@ -19,6 +19,20 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return x.where(F.col("p").rlike(NAME)).select(part(1).alias("doc_id"), part(2).alias("condition"), part(3).cast("int").alias("win"), part(4).cast("int").alias("sample"), "raw")
 
 
+def usage(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, condition, win, sample, usage (map of counts) of every usage file beside the answers: NAME.usage.json."""
+    name = NAME.replace(r"\.txt$", r"\.usage\.json$")
+    x = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("p"), F.from_json("value", "map<string,string>").alias("usage"))
+    part = lambda i: F.regexp_extract("p", name, i)
+    counts = F.transform_values(F.map_filter("usage", lambda k, v: v.rlike("^[0-9]+$")), lambda k, v: v.cast("long"))
+    return x.where(F.col("p").rlike(name)).select(part(1).alias("doc_id"), part(2).alias("condition"), part(3).cast("int").alias("win"), part(4).cast("int").alias("sample"), counts.alias("usage"))
+
+
+def table(spark: SparkSession, path: str) -> DataFrame:
+    """A result table as it was written: a header, all columns text, empty fields null."""
+    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+
+
 def complete(wanted: DataFrame, cache: DataFrame, keys: list[str], client: Callable[[], Callable[[str], str]], attempts: int = 2) -> DataFrame:
     """wanted (keys, prompt) -> keys, raw, starts, reason, cached: usable cached answers, and fresh ones for the rest.
 

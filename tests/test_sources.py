@@ -23,6 +23,42 @@ def test_transcript(spark, tmp_path):
     assert {r.no: r.reason for r in out.collect()} == {5: "non_participant_speaker", 6: "non_participant_speaker", 7: "ambiguous_fields", 8: "backslash_fused", 11: "unanswered_fragment"}
 
 
+def test_transcript_bytes_and_named_lines(spark, tmp_path):
+    text = "1.0\t2.0\tJOE:\tcaf\xe9 it\x92s \x00here &\r\n2.0\t3.0\tANN:\t& and done\r3.0\t4.0\t\tin spite\tof\x7f this\n4.0\t5.0\tANN:\tnext"
+    (tmp_path / "A.trn").write_bytes(text.encode("latin-1"))
+    (tmp_path / "B.trn").write_bytes("1.0\t2.0\tÉVA:\té".encode())
+    units, out = transcript.read(spark, str(tmp_path), {"A": "cp1252"}, apart=[("A", 1), ("A", 2)], speakerless=[("A", 3)])
+    assert [(u.speaker, u.text) for u in units.where("file like '%A.trn'").orderBy("unit").collect()] == [("JOE", "café it's here"), ("ANN", "and done"), ("ANN", "in spite of this"), ("ANN", "next")]
+    assert out.where("file like '%A.trn'").count() == 0
+    _, strays = transcript.lines(spark, str(tmp_path), {"A": "cp1252"})
+    assert sorted((r.doc, r.no, r.byte) for r in strays.collect()) == [("A", 1, "NUL"), ("A", 2, "DEL")]
+    with pytest.raises(Exception, match="A.trn"):
+        transcript.lines(spark, str(tmp_path))[0].collect()
+
+
+def test_token_file_over_many_blocks(spark, tmp_path):
+    rows = []
+    for d in range(6):
+        rows += [f"# newdoc_id = D_x_{d}", *["\t".join([str(i), f"w{d}.{i}", *"_" * 7, "BeginSeg=Yes" if i % 5 == 1 else "_"]) for i in range(1, 400)]]
+    (tmp_path / "big.tok").write_text("\n".join(rows))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = tokfile.read(spark, str(tmp_path)).collect()
+        assert tokfile.lines(spark, str(tmp_path)).select("block").distinct().count() > 5
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted((r.doc_id, r.pos, r.token, r.is_start) for r in got) == sorted((f"D_x_{d}", i, f"w{d}.{i}", i % 5 == 1) for d in range(6) for i in range(1, 400))
+
+
+def test_usage_and_tables(spark, tmp_path):
+    (tmp_path / "D1_A_w3_sample0.usage.json").write_text('{"input_tokens": 12, "output_tokens": 3, "kind": "standard"}')
+    (tmp_path / "D1_A_w3_sample0.txt").write_text("[1]")
+    r = responses.usage(spark, str(tmp_path)).collect()
+    assert [(x.doc_id, x.condition, x.win, x.sample, x.usage) for x in r] == [("D1", "A", 3, 0, {"input_tokens": 12, "output_tokens": 3})]
+    (tmp_path / "t.csv").write_text('file,f1,reason\nA,0.5000,"one, ""two"""\nB,,\n')
+    assert [tuple(x) for x in responses.table(spark, str(tmp_path / "t.csv")).collect()] == [("A", "0.5000", 'one, "two"'), ("B", None, None)]
+
+
 LONG = 'File type = "ooTextFile"\nObject class = "TextGrid"\n\nxmin = 0 \nxmax = 2.5 \ntiers? <exists> \nsize = 2 \nitem []: \n    item [1]:\n        class = "IntervalTier" \n        name = "words" \n        xmin = 0 \n        xmax = 2.5 \n        intervals: size = 2 \n        intervals [1]:\n            xmin = 0 \n            xmax = 1.25 \n            text = "say ""hi""" \n        intervals [2]:\n            xmin = 1.25 \n            xmax = 2.5 \n            text = "" \n    item [2]:\n        class = "TextTier" \n        name = "marks" \n        xmin = 0 \n        xmax = 2.5 \n        points: size = 1 \n        points [1]:\n            number = 1.5 \n            mark = "é" \n'
 SHORT = '"ooTextFile"\n"TextGrid"\n0\n2.5\n<exists>\n1\n"IntervalTier"\n"words"\n0\n2.5\n1\n0\n2.5\n"a"\n'
 
