@@ -87,7 +87,9 @@ def random_draws(toks: DataFrame, draws: int = DRAWS, seed: int = SEED, core: in
     is a function of seed, conversation, draw and position alone, so neither retries nor the order of files matter.
     Everything is drawn from the conversation's own row, so that a draw costs no exchange and no second token table.
     """
-    conv = arrays(toks).drop("hyp")
+    # Rows are few and short before they are drawn from, and a hundred times the work after: they are dealt out by number,
+    # as the planner would gather them into one task by their size.
+    conv = arrays(toks).drop("hyp").repartition(int(toks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "conv_id")
     wins = F.sequence(F.lit(0), F.floor((F.col("n") - 1) / core).cast("int"))
     span = F.transform(wins, lambda w: F.struct((w * core + 1).alias("lo"), F.least((w + 1) * core, F.col("n")).alias("hi")))
     gaps = F.transform(F.filter(span, lambda x: x["hi"] > x["lo"]), lambda x: F.array_except(F.sequence(x["lo"], F.greatest(x["lo"], x["hi"] - 1)), F.col("turns")))
