@@ -40,3 +40,21 @@ def test_the_rest_stands_without_the_corpus_operators():
     for p in [*root.glob("massline/**/*.py"), root / "bench.py"]:
         if "llm" not in p.parts:
             assert ".llm" not in p.read_text(), p
+
+
+def test_the_entry_without_the_corpus_operators(tmp_path):
+    """Their folders and the pipeline deleted: the entry imports and lists the other queries; a missing library is no such case."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    shutil.copytree(root / "massline", tmp_path / "massline", ignore=shutil.ignore_patterns("__pycache__", "llm"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    run = lambda: subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=tmp_path, capture_output=True, text=True)
+    assert run().stdout.split() == [str(len(catalogue.PLANS)), str(len(catalogue.SQL))]
+    (tmp_path / "massline/llm").mkdir()
+    assert run().stdout.split() == [str(len(catalogue.PLANS)), str(len(catalogue.SQL))]
+    (tmp_path / "corpus_pipeline.py").write_text("import a_library_that_is_not_there\n")
+    assert "a_library_that_is_not_there" in run().stderr
