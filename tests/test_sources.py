@@ -118,6 +118,15 @@ def test_streams(spark, tmp_path):
         else:
             with pytest.raises(Exception, match="10 of 40"):
                 q.awaitTermination()
+            assert not (tmp_path / "bad_out").exists()
+    # A stream that goes on after a restart still knows what it counted before.
+    spark.createDataFrame([("fail",)] * 3 + [("ok",)] * 2, "status string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/good")
+    s = spark.readStream.schema("status string").parquet(f"{tmp_path}/good")
+    draws.guarded(s, f"{tmp_path}/good_out", f"{tmp_path}/good_cp").awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/good_out").count() == 35
+    spark.createDataFrame([("fail",)], "status string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/good")
+    with pytest.raises(Exception, match="4 of 36"):
+        draws.guarded(spark.readStream.schema("status string").parquet(f"{tmp_path}/good"), f"{tmp_path}/good_out", f"{tmp_path}/good_cp").awaitTermination()
 
 
 def test_sinks(spark, tmp_path):
