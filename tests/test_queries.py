@@ -32,6 +32,15 @@ def test_query(spark, duck, name):
         assert got == sorted(repr(tuple(r[names.index(c)] for c in cols)) for r in cur.fetchall())
 
 
+def test_result_tables(spark, tmp_path):
+    from massline.plans import tables
+    from massline.sources import responses
+
+    assert set(tables.TABLES.values()) <= set(catalogue.PLANS)
+    paths = tables.write(spark, DIR, str(tmp_path), ["token_tier", "verdicts"])
+    assert [responses.table(spark, p).count() > 0 for p in paths] == [True, True]
+
+
 def test_the_rest_stands_without_the_corpus_operators():
     """Nothing outside imports them, so that deleting them leaves the other queries."""
     from pathlib import Path
