@@ -81,7 +81,7 @@ def levels(words: set[str], hits: _Hits) -> list[float]:
 
 
 class LabelModel:
-    """A generative model of the hidden label and the votes, fitted by EM on the votes alone.
+    """A generative model of the hidden label and the votes, fitted by EM on votes and, for half of its counts, on labels.
 
     Its parameters are the share of toxic documents, each voter's chance of voting in either class (its accuracy), and,
     where voters agree more within a class than independence allows, the chance given another voter's vote (their
