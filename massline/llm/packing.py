@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
+import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +22,11 @@ WINDOW = 1024
 OPEN = 32
 #: Partitions whose last windows meet in one task of a merge.
 FAN_IN = 256
-#: Words whose ids a worker remembers; the memory starts anew when it is full.
-REMEMBERED = 200_000
+#: Characters of a text that are encoded at once, up to the next gap between words.
+CHUNK = 1 << 20
+GAP = re.compile(r" (?=\S)")
+#: White space in a row that the fast encoder takes; beyond a million it would fail.
+RUN = 200_000
 END = 0
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -31,10 +36,9 @@ ROW = PIECE + ", ids binary"
 class Encoder:
     """Ids of whole texts, equal to those of the tokenizer file.
 
-    The file's pattern always begins a piece at a space that a visible character follows, so texts are cut there and
-    the ids of each word are looked up; words not yet seen go to a byte-pair encoder over the file's own vocabulary,
-    and texts with other white space than single spaces between words are still cut only where that holds. Before that,
-    texts are cut at the file's added tokens, as its tokenizer does.
+    A text is cut at the file's added tokens, as its tokenizer does, and the rest goes to a byte-pair encoder over the
+    file's own vocabulary, at once: invented and rare words are so many that looking ids up word by word costs more.
+    The file's pattern always begins a piece at a space that a visible character follows, so long texts are cut there.
     """
 
     def __init__(self, path: str):
@@ -48,45 +52,41 @@ class Encoder:
         shown = [b for b in range(256) if chr(b).isprintable() and b not in (32, 160, 173)]
         back = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
         ranks = {bytes(back[c] for c in k): v for k, v in model["model"]["vocab"].items() if k not in self.added}
-        # Fixed value: the pattern of byte-level tokenizers.
-        pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+        # Fixed value: the pattern of byte-level tokenizers, 's|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+,
+        # in a form that gives the same pieces without stepping back.
+        pattern = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
         self.fast = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.known: dict[str, tuple] = {}
         probe = "It's 12 o'clock,  naïve\tÉtés\n\n  über 3.5% <|endoftext|> \U0001f600 end "
         # Tokens that take white space or only whole words are left to the file's tokenizer, and so is all if the probe differs.
         self.whole = any(x["single_word"] or x["lstrip"] or x["rstrip"] for x in model["added_tokens"])
         self.whole = self.whole or self.ids(probe).tolist() != [*self.slow.encode(probe, add_special_tokens=False).ids, END]
 
     def _encode(self, text: str) -> list[int]:
+        if len(text) > RUN and max((m.end() - m.start() for m in re.finditer(r"\s+", text)), default=0) > RUN:
+            return self.slow.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 
     def ids(self, text: str) -> np.ndarray:
         if self.whole:
             return np.array([*self.slow.encode(text, add_special_tokens=False).ids, END], dtype="<u4")
-        parts = self.cut.split(text)  # every second one is an added token
-        found = self._plain(parts[0])
-        for mark, part in zip(parts[1::2], parts[2::2]):
-            found += [self.added[mark], *self._plain(part)]
-        return np.array([*found, END], dtype="<u4")
-
-    def _plain(self, text: str) -> list[int]:
-        words = text.split(" ")
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        rest = words[1:]
-        if not all(rest) or any(w[0].isspace() for w in rest):
-            # A space that white space or nothing follows belongs to the word before it.
-            joined, rest = [words[0]], words[1:]
-            for i, w in enumerate(rest):
-                if w and not w[0].isspace():
-                    joined.append(w)
-                else:
-                    joined[-1] += " " + w
-            words, rest = joined, joined[1:]
-        for w in set(rest).difference(known):
-            known[w] = tuple(self._encode(" " + w))
-        return [*self._encode(words[0]), *chain.from_iterable(map(known.__getitem__, rest))]
+        found = array("I")
+        for i, part in enumerate(self.cut.split(text)):
+            if i % 2:  # every second one is an added token
+                found.append(self.added[part])
+                continue
+            at = 0
+            while len(part) - at > CHUNK and (gap := GAP.search(part, at + CHUNK)):
+                found.extend(self._encode(part[at : gap.start()]))
+                at = gap.start()
+            found.extend(self._encode(part[at:]))
+        found.append(END)
+        return np.array(found, dtype="<u4")
+
+
+@lru_cache(maxsize=1)
+def _encoder(path: str, changed: int) -> Encoder:
+    """A worker's own, kept from task to task; ``changed`` is the file's time."""
+    return Encoder(path)
 
 
 class Packer:
@@ -201,7 +201,7 @@ def pack(docs: DataFrame, path: str, scratch: common.Scratch, window: int = WIND
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, packer = Encoder(path), Packer(TaskContext.get().partitionId() << 32, window, most)
+        encoder, packer = _encoder(path, os.stat(path).st_mtime_ns), Packer(TaskContext.get().partitionId() << 32, window, most)
         for batch in (b for whole in batches for b in common.slices(whole, 1)):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids = encoder.ids(text.as_py() or "")

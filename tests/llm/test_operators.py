@@ -289,6 +289,21 @@ def test_added_tokens_are_those_of_the_file(spark):
         assert at == len(ids)
 
 
+def test_encoder_takes_a_text_at_once(monkeypatch):
+    """Not a call for each new word, nor an encoder for each task; long texts and long white space give the tokenizer's ids."""
+    encoder, calls = packing.Encoder(packing.default_path()), []
+    monkeypatch.setattr(encoder, "fast", type("Counted", (), {"encode_ordinary": lambda self, text, f=encoder.fast: calls.append(text) or f.encode_ordinary(text)})())
+    text = " ".join(f"né{i}ab" for i in range(1000))
+    want = [*encoder.slow.encode(text, add_special_tokens=False).ids, 0]
+    assert encoder.ids(text).tolist() == want and len(calls) == 1
+    for chunk in (1, 2, 7, 100):
+        monkeypatch.setattr(packing, "CHUNK", chunk)
+        for x in (text, "a  b \n c\t d  ", "   ", " \n x<|endoftext|> y  z", "word \u3000\x85 déjà\x1c vu " * 50):
+            assert encoder.ids(x).tolist() == [*encoder.slow.encode(x, add_special_tokens=False).ids, 0]
+    assert len(encoder.ids("\n" * 1_100_000 + "x")) == len(encoder.slow.encode("\n" * 1_100_000 + "x", add_special_tokens=False).ids) + 1
+    assert packing._encoder(packing.default_path(), 0) is packing._encoder(packing.default_path(), 0)
+
+
 def test_packing_merges(spark, monkeypatch):
     monkeypatch.setattr(packing, "FAN_IN", 3)
     df = spark.createDataFrame([(i, "word " * (i % 50)) for i in range(200)], "doc_id long, text string").repartition(11)
