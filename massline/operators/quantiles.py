@@ -12,14 +12,18 @@ RANGES = 256
 def quantiles(rows: DataFrame, by: str, value: str, shares: dict[str, float], ranges: int = RANGES) -> DataFrame:
     """(by, value) -> by and a column for each share: the value at 1 + (n - 1) share, between neighbours in proportion.
 
-    Values are cut into ranges by approximate quantiles of a group, counts of the ranges give each range its first rank,
-    and only the ranges that hold a wanted rank are ranked, each by itself. No task holds a group.
+    Values are cut into ranges by quantiles of a sample, counts of the ranges give each range its first rank, and only the
+    ranges that hold a wanted rank are ranked, each by itself. No task holds a group. The sample is taken by a hash of the
+    value: the plan reads the ranges more than once, and each time they must be the same ones.
     """
     x = rows.select(by, F.col(value).cast("double").alias("_x")).where("_x is not null")
     equal = x.groupBy(by, "_x").agg(F.count("*").alias("_c"))
-    cuts = x.groupBy(by).agg(F.percentile_approx("_x", F.array(*[F.lit((i + 1) / ranges) for i in range(ranges - 1)]), 10 * ranges).alias("_cuts"), F.count("*").alias("_n"))
+    known = equal.join(equal.groupBy(by).agg(F.sum("_c").alias("_n"), F.count("*").alias("_d")), by)
+    every = F.greatest(F.lit(1), F.floor(F.col("_d") / (10 * ranges)))
+    sample = known.where(F.pmod(F.xxhash64("_x"), every) == 0).groupBy(by).agg(F.sort_array(F.collect_list("_x")).alias("_s"))
+    cuts = sample.select(by, F.transform(F.sequence(F.lit(1), F.lit(ranges - 1)), lambda i: F.element_at("_s", F.greatest(F.lit(1), F.ceil(F.size("_s") * i / ranges).cast("int")))).alias("_cuts"))
     # Cuts ascend, so that those below a value are as many as its range's number.
-    placed = equal.join(cuts, by).withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col("_x"))))
+    placed = known.join(cuts, by, "left").withColumn("_part", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col("_x"))), F.lit(0)))
     per = placed.groupBy(by, "_n", "_part").agg(F.sum("_c").alias("_k"))
     per = per.withColumn("_first", F.coalesce(F.sum("_k").over(Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     want = F.array(*[F.struct(F.lit(name).alias("_name"), (1 + (F.col("_n") - 1) * share).alias("_at")) for name, share in shares.items()])

@@ -45,12 +45,12 @@ def _located(spark, d):
 
 
 def _r(name, digits=3):
-    return F.round(name, digits).alias(name)
+    return T.rounded(name, digits).alias(name)
 
 
 @query(f"WITH {LOC} SELECT user_id, round(t, 3) AS t, place, round(ms, 3) AS offset_ms FROM loc")
 def locate_in_tier(spark, d):
-    return _located(spark, d).select("user_id", _r("t"), "place", F.round("ms", 3).alias("offset_ms"))
+    return _located(spark, d).select("user_id", _r("t"), "place", T.rounded("ms", 3).alias("offset_ms"))
 
 
 @query(f"""WITH {LOC}, g AS (SELECT coalesce(CAST(user_id AS VARCHAR), 'ALL') AS speaker, {", ".join(f"count(*) FILTER (place = '{p}') AS {p}" for p in PLACES)}, count(*) AS boundaries,
@@ -68,7 +68,7 @@ def alignment_record(spark, d):
     signed = x.where("off is not null").select(F.explode(F.array(F.col("user_id").cast("string"), F.lit("ALL"))).alias("speaker"), "off")
     at = Q.quantiles(signed, "speaker", "off", shares)
     out = g.join(at, "speaker", "left")
-    return out.select("speaker", "boundaries", *PLACES, F.round(F.col("exact") / F.col("boundaries"), 4).alias("exact_share"), "earlier", "later", *[F.when(F.col("k") >= 2, F.round(s, 1)).alias(s) for s in shares])
+    return out.select("speaker", "boundaries", *PLACES, T.rounded(F.col("exact") / F.col("boundaries"), 4).alias("exact_share"), "earlier", "later", *[F.when(F.col("k") >= 2, T.rounded(s, 1)).alias(s) for s in shares])
 
 
 @query(f"""WITH {LOC}, b AS (SELECT unnest(['(0,0.001]', '(0.001,1]', '(1,5]', '(5,10]', '(10,20]', '(20,50]', '(50,100]', '(100,500]', '(500,inf)']) AS bin),

@@ -72,7 +72,7 @@ def pert(spark, d, sample=0):
 
 
 def r6(*names):
-    return [F.round(n, 6).alias(n) for n in names]
+    return [T.rounded(n, 6).alias(n) for n in names]
 
 
 def lng(*names):
